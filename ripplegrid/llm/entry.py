@@ -12,6 +12,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ripplegrid.llm import syncmers as S
+
+    found = S.edited(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), S.as_text(F.col("own")).alias("fingerprint"), S.as_text(F.col("edited")).alias("edited_fingerprint"),
+        S.likeness(F.col("own"), F.col("edited")).alias("near_edited"), S.likeness(F.col("own"), F.col("following")).alias("near_next"),
+    )
+
+
+def op2_block_max_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ripplegrid.llm.common import held_out
+    from ripplegrid.llm.toxicity import score
+
+    found = score(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "neighbours")
+
+
+def op3_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ripplegrid.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op4_fixed_block_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ripplegrid.llm.substring_dedup import repeats
 
@@ -19,8 +43,24 @@ def op4_fixed_block_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), "spans")
 
 
+def op6_license_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ripplegrid.llm.license_scan import scan
+
+    return scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ripplegrid.llm.common import held_out
+    from ripplegrid.llm.language_id import fit, identify
+
+    docs = _table(spark, sf_dir, "documents")
+    found = identify(docs.select("doc_id", "text"), fit(docs.select("doc_id", "text", "lang")), carry=["doc_id"])
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_fixed_block_repeats,)
+    f.__name__: f
+    for f in (op1_closed_syncmers, op2_block_max_toxicity, op3_sainte_lague_mix, op4_fixed_block_repeats, op6_license_set_join, op10_language_codes)
 }
 
 ORACLE_SQL: dict[str, str] = {}

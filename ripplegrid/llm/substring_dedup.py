@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ripplegrid.llm.common import range_bounds, range_part, text_volume
-from ripplegrid.llm.wordbytes import rolling, span_hashes, text_bytes, word_spans
+from ripplegrid.llm.wordbytes import distinct, rolling, span_hashes, text_bytes, word_spans
 
 _ID, _TEXT, _CHUNK = "__doc_id", "__text", "__chunk"
 _MADE_TYPES = "n_words bigint, n_removed bigint, spans array<struct<start:int,end:int>>, kept_text string"
@@ -58,23 +58,43 @@ class _Chunk:
         return at, h[at]
 
 
-def _packed(keys: np.ndarray, buckets: int, low: bool) -> list[bytes]:
-    """Sorted keys, cut into buckets by their high half; low: only the low half is sent."""
-    number = (keys >> np.uint64(32)) % np.uint64(buckets)
-    order = np.lexsort((keys & np.uint64(0xFFFFFFFF), number)) if low else np.lexsort((keys, number))
-    keys, cuts = keys[order], np.searchsorted(number[order], np.arange(buckets + 1, dtype=np.uint64))
-    values = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32) if low else keys
+def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a hash: ascending hashes have ascending buckets."""
+    return ((values >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def _key(values: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and low half of a hash, which is all that an anchor's message tells of it."""
+    return _bucket(values, buckets) << np.uint64(32) | (values & np.uint64(0xFFFFFFFF))
+
+
+def _cuts(sent_buckets: np.ndarray, buckets: int) -> np.ndarray:
+    return np.searchsorted(sent_buckets, np.arange(buckets + 1, dtype=np.uint64))
+
+
+def _pieces(values: np.ndarray, cuts: np.ndarray) -> list[bytes]:
     return [values[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def _in_bucket_order(keys: np.ndarray, buckets: int, low: bool) -> np.ndarray:
-    """The sorted keys in the order in which _packed sends them."""
-    number = (keys >> np.uint64(32)) % np.uint64(buckets)
-    return keys[np.lexsort((keys & np.uint64(0xFFFFFFFF), number)) if low else np.lexsort((keys, number))]
+class _Groups:
+    """Equal values of an array: distinct holds them ascending, of tells which one each place has."""
 
+    def __init__(self, values: np.ndarray):
+        self.order = np.argsort(values, kind="stable")
+        sorted_ = values[self.order]
+        self.new = np.concatenate([[True], sorted_[1:] != sorted_[:-1]]) if len(values) else np.zeros(0, bool)
+        self.distinct = sorted_[self.new]
+        self.at = np.cumsum(self.new) - 1  # in sorted order
 
-def _key(values: np.ndarray, buckets: int) -> np.ndarray:
-    return ((values >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | (values & np.uint64(0xFFFFFFFF))
+    def spread(self, of_distinct: np.ndarray) -> np.ndarray:
+        out = np.empty(len(self.order), of_distinct.dtype)
+        out[self.order] = of_distinct[self.at]
+        return out
+
+    def any(self, flags: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.distinct), bool)
+        out[self.at[flags[self.order]]] = True
+        return out
 
 
 def _messages(chunk: int, buckets: int, probes: list[bytes], blocks: list[bytes]) -> pa.Table:
@@ -124,41 +144,34 @@ def _anchors(c: _Chunk, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, h, (at - c.first[c.row[at]]) % size == 0
 
 
-def _local(keys: np.ndarray, rank: np.ndarray, aligned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _local(groups: _Groups, rank: np.ndarray, aligned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Inside a chunk: probes with a block in an earlier document, and blocks with a probe in a later one."""
-    order = np.lexsort((rank, keys))
-    k, r, block = keys[order], rank[order], aligned[order]
-    new = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
-    group = np.cumsum(new) - 1
-    n = int(group[-1]) + 1 if len(group) else 0
-    first = np.full(n, np.iinfo(np.int64).max)
-    np.minimum.at(first, group[block], r[block])
-    last = r[np.append(np.flatnonzero(new)[1:], len(k)) - 1] if n else np.zeros(0, np.int64)
-    probe, ref = np.zeros(len(k), bool), np.zeros(len(k), bool)
-    probe[order] = first[group] < r
-    ref[order] = block & (last[group] > r)
+    r, block = rank[groups.order], aligned[groups.order]
+    first = np.full(len(groups.distinct), np.iinfo(np.int64).max)
+    np.minimum.at(first, groups.at[block], r[block])
+    last = r[np.append(np.flatnonzero(groups.new)[1:], len(r)) - 1] if len(r) else np.zeros(0, np.int64)
+    probe, ref = np.zeros(len(r), bool), np.zeros(len(r), bool)
+    probe[groups.order] = first[groups.at] < r
+    ref[groups.order] = block & (last[groups.at] > r)
     return probe, ref
 
 
 def _candidates(c: _Chunk, answers: pa.Table, window: int, size: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and hashes of the windows that hold an anchor, and which of them may be a repeat of an earlier document."""
     at, h, aligned = _anchors(c, size)
-    keys = _key(h, buckets)
-    probe, ref = _local(keys, c.rank[c.row[at]], aligned)
-    for name, mine in (("probes", np.ones(len(at), bool)), ("blocks", aligned)):
-        sent = np.unique(keys[mine])
-        counts = np.bincount((sent >> np.uint64(32)).astype(np.int64), minlength=buckets)
-        hit = _unpacked(answers, name, counts)
-        met = mine & (hit[np.minimum(np.searchsorted(sent, keys), max(len(sent) - 1, 0))] if len(sent) else False)
-        if name == "probes":
-            probe |= met
-        else:
-            ref |= met
+    groups = _Groups(_key(h, buckets))
+    probe, ref = _local(groups, c.rank[c.row[at]], aligned)
+    of = (groups.distinct >> np.uint64(32)).astype(np.int64)
+    probe |= groups.spread(_unpacked(answers, "probes", np.bincount(of, minlength=buckets)))
+    sent = groups.any(aligned)
+    met = np.zeros(len(sent), bool)
+    met[sent] = _unpacked(answers, "blocks", np.bincount(of[sent], minlength=buckets))
+    ref |= aligned & groups.spread(met)
     start, full = c.windows(window)
-    marks = np.zeros((2, len(c.words) + 1), np.int64)
+    marks = np.zeros((2, len(c.words) + 1), np.int32)
     marks[0, at[probe] + 1] = 1
     marks[1, at[ref] + 1] = 1
-    seen = np.cumsum(marks, axis=1)
+    seen = np.cumsum(marks, axis=1, dtype=np.int32)
     inside = seen[:, np.minimum(start + window - size + 1, len(c.words))] - seen[:, start]
     keep = (inside[0] > 0) | (inside[1] > 0)
     return start[keep], full[keep], inside[0][keep] > 0
@@ -184,10 +197,9 @@ def repeats(docs: DataFrame, window: int = 13, chunk_bytes: int = 8 << 20, min_c
         c = _Chunk(table)
         _, h, aligned = _anchors(c, size)
         keys = _key(h, buckets)
-        sent = [np.unique(keys), np.unique(keys[aligned])]
-        cut = [np.searchsorted(s >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64)) for s in sent]
-        low = [(s & np.uint64(0xFFFFFFFF)).astype(np.uint32) for s in sent]
-        return _messages(key[0].as_py(), buckets, *[[v[a:b].tobytes() for a, b in zip(x[:-1], x[1:], strict=True)] for v, x in zip(low, cut, strict=True)])
+        sent = [distinct(keys), distinct(keys[aligned])]
+        low = [(x & np.uint64(0xFFFFFFFF)).astype(np.uint32) for x in sent]
+        return _messages(key[0].as_py(), buckets, *[_pieces(v, _cuts(x >> np.uint64(32), buckets)) for v, x in zip(low, sent, strict=True)])
 
     def answer(dtype):
         def of_bucket(key, table):
@@ -206,22 +218,19 @@ def repeats(docs: DataFrame, window: int = 13, chunk_bytes: int = 8 << 20, min_c
     def ask_windows(key, table, answers):
         c = _Chunk(table)
         _, full, later = _candidates(c, answers, window, size, buckets)
-        probes, refs = np.unique(full[later]), np.unique(full)
-        return _messages(_chunk_of(key, table), buckets, _packed(probes, buckets, False), _packed(refs, buckets, False))
+        sent = [distinct(full[later]), distinct(full)]
+        return _messages(_chunk_of(key, table), buckets, *[_pieces(x, _cuts(_bucket(x, buckets), buckets)) for x in sent])
 
     def cut_out(key, table, anchors, found):
         c = _Chunk(table)
         start, full, later = _candidates(c, anchors, window, size, buckets)
-        sent = _in_bucket_order(np.unique(full[later]), buckets, False)
-        counts = np.bincount(((sent >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), minlength=buckets)
-        elsewhere = np.sort(sent[_unpacked(found, "probes", counts)])
-        met = np.isin(full, elsewhere)
+        groups = _Groups(full)
+        sent = groups.any(later)
+        elsewhere = np.zeros(len(sent), bool)
+        elsewhere[sent] = _unpacked(found, "probes", np.bincount(_bucket(groups.distinct[sent], buckets).astype(np.int64), minlength=buckets))
         rank = c.rank[c.row[start]]
-        if len(full):
-            values, inverse = np.unique(full, return_inverse=True)
-            first = np.full(len(values), np.iinfo(np.int64).max)
-            np.minimum.at(first, inverse, rank)
-            met |= first[inverse] < rank
+        first = rank[groups.order][groups.new]  # stable order: the first of equal windows has the smallest doc_id
+        met = groups.spread(elsewhere) | (groups.spread(first) < rank)
         cover = np.zeros(len(c.words) + 1, np.int64)
         np.add.at(cover, start[met], 1)
         np.add.at(cover, start[met] + window, -1)

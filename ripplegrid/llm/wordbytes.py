@@ -110,3 +110,9 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
         out *= np.uint64(_BASE)
         out += h[j : j + n]
     return mix(out)
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending."""
+    out = np.sort(values)
+    return out[np.concatenate([[True], out[1:] != out[:-1]])] if len(out) else out
