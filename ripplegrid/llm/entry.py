@@ -43,6 +43,15 @@ def op4_fixed_block_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), "spans")
 
 
+def op5_deficit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from ripplegrid.llm.packing import pack
+
+    found = pack(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), public_tokenizers.path("word_bpe_49k.json"))
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
+
+
 def op6_license_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ripplegrid.llm.license_scan import scan
 
@@ -60,7 +69,7 @@ def op10_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_closed_syncmers, op2_block_max_toxicity, op3_sainte_lague_mix, op4_fixed_block_repeats, op6_license_set_join, op10_language_codes)
+    for f in (op1_closed_syncmers, op2_block_max_toxicity, op3_sainte_lague_mix, op4_fixed_block_repeats, op5_deficit_packing, op6_license_set_join, op10_language_codes)
 }
 
 ORACLE_SQL: dict[str, str] = {}
