@@ -64,6 +64,12 @@ def op7_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_m_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ripplegrid.llm.mtree import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ripplegrid.llm.common import held_out
     from ripplegrid.llm.language_id import fit, identify
@@ -75,7 +81,21 @@ def op10_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_closed_syncmers, op2_block_max_toxicity, op3_sainte_lague_mix, op4_fixed_block_repeats, op5_deficit_packing, op6_license_set_join, op7_bag_minhash, op10_language_codes)
+    for f in (op1_closed_syncmers, op2_block_max_toxicity, op3_sainte_lague_mix, op4_fixed_block_repeats, op5_deficit_packing, op6_license_set_join, op7_bag_minhash, op8_m_tree, op10_language_codes)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_m_tree": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+""",
+}
