@@ -70,6 +70,12 @@ def op8_m_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op9_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ripplegrid.llm.pseudo_likelihood import score
+
+    return score(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ripplegrid.llm.common import held_out
     from ripplegrid.llm.language_id import fit, identify
@@ -81,7 +87,7 @@ def op10_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_closed_syncmers, op2_block_max_toxicity, op3_sainte_lague_mix, op4_fixed_block_repeats, op5_deficit_packing, op6_license_set_join, op7_bag_minhash, op8_m_tree, op10_language_codes)
+    for f in (op1_closed_syncmers, op2_block_max_toxicity, op3_sainte_lague_mix, op4_fixed_block_repeats, op5_deficit_packing, op6_license_set_join, op7_bag_minhash, op8_m_tree, op9_masked_pseudo_likelihood, op10_language_codes)
 }
 
 ORACLE_SQL: dict[str, str] = {
