@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ripplegrid.jobs import score_queries, table_queries
+
+_ALL = {**score_queries.QUERIES, **table_queries.QUERIES}
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of all queries but those that it cannot express."""
+    return {f.__name__: sql for f, sql in _ALL.items() if sql is not None}
