@@ -398,3 +398,46 @@ QUERIES = {
     scaled_colours: "WITH q AS (SELECT quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM events), s AS (SELECT event_id, (greatest(least(value, hi), lo) - lo) / (hi - lo) AS x FROM events, q) SELECT event_id, floor(x * 255)::BIGINT AS colour, round(1 / (1 + exp(-(x * 4 - 2))), 9) AS weight FROM s",
     episode_audit: "SELECT 'price' AS rule, count(*) FILTER (NOT o_totalprice > 2000) AS violations FROM orders UNION ALL SELECT 'date', count(*) FILTER (o_orderdate < TIMESTAMP '1995-02-01') FROM orders UNION ALL SELECT 'status', count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) FROM orders UNION ALL SELECT 'orphan', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)",
 }
+
+
+def year_scores(spark, sf_dir):
+    """Scores of the causal windows of all users by a convolution with given weights (no SQL: tests hold it against a loop)."""
+    from ripplegrid.operators.scorer import CausalNet, score_windows
+
+    f = _features(spark, sf_dir).withColumn("x", (F.col("value") - 50) / 50).withColumn("y", F.col("k") / 100)
+    w = windows.causal(f, ["user_id"], ["ts", "event_id"], "x").withColumnRenamed("window", "wx").drop("step")
+    w = windows.causal(f, ["user_id"], ["ts", "event_id"], "y").select("event_id", F.col("window").alias("wy")).join(w.select("event_id", "wx"), "event_id")
+    return score_windows(w, ["event_id"], ["wx", "wy"], CausalNet.given(2, 8)).select("event_id", F.round("score", 9).alias("score"))
+
+
+def chained_level(spark, sf_dir):
+    """A tank's level per user along its pieces, filled by purchases and drained by clicks (sequential: no SQL)."""
+    from ripplegrid.operators.scorer import chained
+
+    e = table(spark, sf_dir, "events")
+    p = e.groupBy(F.col("user_id"), F.datediff("ts", F.lit("2024-01-01").cast("date")).alias("piece")).agg(F.round(F.coalesce(F.sum(F.when(F.col("event_type") == "purchase", F.col("value"))), F.lit(0.0)), 6).alias("inflow"), F.round(F.coalesce(F.sum(F.when(F.col("event_type") == "click", F.col("value"))), F.lit(0.0)), 6).alias("outflow"))
+    return chained(p, "user_id", "piece", "inflow", "outflow", 50.0, 0.0, 100.0).select("user_id", "piece", F.round("level", 6).alias("level"))
+
+
+def extra_rollup(spark, sf_dir):
+    """Beyond the reference: prices by year and status with subtotals."""
+    o = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year"), "o_orderstatus", "o_totalprice")
+    return o.rollup("year", "o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.grouping_id().cast("int").alias("level"))
+
+
+def extra_as_of(spark, sf_dir):
+    """Beyond the reference: for every error the value of the user's last purchase before it."""
+    from pyspark.sql import Window
+
+    e = table(spark, sf_dir, "events")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("event_type") == "purchase", F.col("value")), ignorenulls=True).over(w)
+    return e.withColumn("last_purchase", last).where("event_type = 'error'").select("event_id", "last_purchase")
+
+
+QUERIES |= {
+    year_scores: None,
+    chained_level: None,
+    extra_rollup: "SELECT year(o_orderdate)::INTEGER AS year, o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total, grouping(year(o_orderdate), o_orderstatus)::INTEGER AS level FROM orders GROUP BY ROLLUP (year(o_orderdate), o_orderstatus)",
+    extra_as_of: "SELECT event_id, last_purchase FROM (SELECT event_id, event_type, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_purchase FROM events) WHERE event_type = 'error'",
+}

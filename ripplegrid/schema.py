@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T._parse_datatype_string(ddl)
+_TYPES = {"bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "timestamp_ntz": T.TimestampNTZType(), "array<float>": T.ArrayType(T.FloatType())}
+
+
+def _schema(columns: str) -> T.StructType:
+    """A schema of "name type, name type"; needs no session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (c.split() for c in columns.split(", "))])
 
 
 TABLES: dict[str, T.StructType] = {
