@@ -42,6 +42,8 @@ def text_volume(docs: DataFrame) -> int:
 
 def range_bounds(df: DataFrame, column: str, parts: int) -> list[int]:
     """At most parts - 1 ascending values that cut the column into parts of about as many rows."""
+    if parts < 2:
+        return []
     probabilities = [i / parts for i in range(1, parts)]
     found = df.select(F.col(column).cast("double").alias("x")).na.drop().approxQuantile("x", probabilities, 0.25 / parts)
     return sorted({int(x) for x in found})

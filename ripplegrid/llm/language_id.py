@@ -67,7 +67,7 @@ def codewords(n: int, seed: int = 5) -> np.ndarray:
     if n <= 1:
         return np.zeros((n, 0))
     if n <= 5:
-        bits = np.arange(1, 2 ** (n - 1))
+        bits = np.arange(2 ** (n - 1) - 1)
         table = np.array([[1] * len(bits), *[(bits >> j) & 1 for j in range(n - 1)]])
         return np.where(table == 1, 1.0, -1.0)
     rng, best, apart = np.random.default_rng(seed), None, -1

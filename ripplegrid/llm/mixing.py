@@ -1,8 +1,8 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
 The mix has ``share`` times the words of all documents. Sources get targets by weight, none above ``cap`` times
-its size; what is above is shared again by weight. The mix's blocks of ``block_words`` words are then given to
-sources by highest quotients target / (2 seats + 1). A source's documents lie in shards (by hash of the id) of
+its size; what is above is shared again by weight. The mix's blocks of ``block_words`` words (fewer, down to 1, where that
+is more than 1/256 of the smallest source that has a word) are then given to sources by highest quotients target / (2 seats + 1). A source's documents lie in shards (by hash of the id) of
 about ``shard_words`` words, and the source's divisor gives every shard its integer quota by the same rule. Inside
 a shard the documents stand in seeded order and are cut into blocks; the quota takes whole rounds of the shard
 and, of what is left, the blocks that a seeded permutation puts first.
@@ -76,6 +76,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
         raise ValueError(f"more than {max_sources} sources")
     rows.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["size"] for r in rows]
+    block_words = max(1, min(block_words, min((n for n in sizes if n), default=1) // 256))
     target = targets(sizes, [weights[i % len(weights)] for i in range(len(rows))], share, cap)
     seats = sainte_lague(target, round(float(target.sum()) / block_words))
     plan = docs.sparkSession.createDataFrame(
