@@ -370,7 +370,7 @@ QUERIES = {
     static_scaling: "SELECT n_nationkey AS node, round((length(n_name) - avg(length(n_name)) OVER ()) / stddev_pop(length(n_name)) OVER (), 9) AS size FROM nation",
     background_hourly: f"WITH {GRID}, m AS (SELECT entity, hour(hour) AS h, avg(score) FILTER (hour < TIMESTAMP '2024-01-15') AS b FROM g GROUP BY 1, 2) SELECT g.hour, g.entity, round(b, 6) AS background, round(score - b, 6) AS residual FROM g JOIN m ON m.entity = g.entity AND m.h = hour(g.hour)",
     event_gains: f"WITH {GRID}, {_STUDY} SELECT * FROM gn",
-    diff_in_diff: f"WITH {GRID}, {_STUDY} SELECT entity, round(avg(gain) FILTER (\"case\" = 'event'), 6) AS event_gain, round(avg(gain) FILTER (\"case\" <> 'event'), 6) AS control_gain, round(avg(gain) FILTER (\"case\" = 'event') - avg(gain) FILTER (\"case\" <> 'event'), 6) AS difference FROM gn GROUP BY entity",
+    diff_in_diff: f"WITH {GRID}, {_STUDY} SELECT entity, round(avg(gain) FILTER (\"case\" = 'event'), 6) AS event_gain, round(avg(gain) FILTER (\"case\" <> 'event'), 8) AS control_gain, round(avg(gain) FILTER (\"case\" = 'event') - avg(gain) FILTER (\"case\" <> 'event'), 8) AS difference FROM gn GROUP BY entity",
     concurrent_events: f"WITH {GRID}, {_STUDY} SELECT a.entity, a.anchor, count(e.event_id) AS n FROM a LEFT JOIN events e ON e.event_type = 'purchase' AND e.user_id <> a.entity AND e.ts >= a.anchor - INTERVAL 6 HOUR AND e.ts < a.anchor + INTERVAL 7 HOUR GROUP BY 1, 2",
     plan_overlap: f"WITH {_PLAN} SELECT x.id AS a, count(*) AS n, min(y.id) AS first FROM p x JOIN p y ON x.id < y.id AND x.part <> y.part AND x.b < y.b + 6 AND y.b < x.b + 6 GROUP BY 1",
     partition_contract: f"WITH {_PLAN} SELECT variant, count(DISTINCT part) AS partitions FROM p GROUP BY 1 HAVING count(DISTINCT part) > 1",

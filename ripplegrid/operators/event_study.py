@@ -45,7 +45,7 @@ def difference_in_differences(gained: DataFrame) -> DataFrame:
     """entity, event_gain, control_gain, difference: the event's gain less the mean gain of its controls."""
     event = F.col("case") == "event"
     out = gained.groupBy("entity").agg(F.avg(F.when(event, F.col("gain"))).alias("e"), F.avg(F.when(~event, F.col("gain"))).alias("c"))
-    return out.select("entity", F.round("e", 6).alias("event_gain"), F.round("c", 6).alias("control_gain"), F.round(F.col("e") - F.col("c"), 6).alias("difference"))
+    return out.select("entity", F.round("e", 6).alias("event_gain"), F.round("c", 8).alias("control_gain"), F.round(F.col("e") - F.col("c"), 8).alias("difference"))
 
 
 def concurrent(anchors: DataFrame, events: DataFrame, hours: int, slot_hours: int = 24) -> DataFrame:
