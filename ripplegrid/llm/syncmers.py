@@ -82,14 +82,18 @@ def edited(docs: DataFrame, k: int = 5, s: int = 2, size: int = 64) -> DataFrame
     in descending doc_id, after the last the first. Null texts are empty. Rows that share a doc_id are edited one by one;
     the next document is then the row with the smallest text. A row without a doc_id has no next document.
     """
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    own = with_anchors(own, "text", "anchors", k, s).select("doc_id", "text", F.length("text").cast("bigint").alias("n_chars"), sketch(F.col("anchors"), size).alias("own"))
+    docs = docs.select("doc_id", "text") if dict(docs.dtypes)["doc_id"] == "bigint" else docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    every = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = every.where(F.col("doc_id").isNotNull())  # both joins below read the one exchange of it, so anchors come after them
     links = next_ids(docs)
     need = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.floor(F.length("text") / 2).alias("need")).groupBy("doc_id").agg(F.coalesce(F.max("need"), F.lit(0)).cast("int").alias("need"))
     wanted = links.join(need, "doc_id").select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("of"), "need")
-    lent = own.join(wanted, "doc_id").select(F.col("of").alias("doc_id"), F.substring("text", 1, F.col("need")).alias("lent"), F.col("own").alias("following"))
+    lent = with_anchors(own.join(wanted, "doc_id"), "text", "anchors", k, s)
+    lent = lent.select(F.col("of").alias("doc_id"), F.substring("text", 1, F.col("need")).alias("lent"), sketch(F.col("anchors"), size).alias("following"))
     lent = lent.groupBy("doc_id").agg(F.min(F.struct("lent", "following")).alias("x")).select("doc_id", "x.lent", "x.following")
+    alone = every.where(F.col("doc_id").isNull()).withColumns({"lent": F.lit(""), "following": F.array().cast(_INTS)})
+    out = own.join(lent, "doc_id", "left").unionByName(alone).withColumn("n_chars", F.length("text").cast("bigint"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     text = F.concat(F.substring("text", 1, (F.col("n_chars") - half).cast("int")), F.substring(F.coalesce("lent", F.lit("")), 1, half))
-    out = own.join(lent, "doc_id", "left").withColumn("edited_text", text)
+    out = with_anchors(out.withColumn("edited_text", text), "text", "anchors", k, s).withColumn("own", sketch(F.col("anchors"), size))
     return with_anchors(out, "edited_text", "anchors", k, s).select("doc_id", "n_chars", "edited_text", "own", sketch(F.col("anchors"), size).alias("edited"), F.coalesce("following", F.array().cast(_INTS)).alias("following"))
