@@ -110,12 +110,12 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
     """The rows of the mix, with the columns of docs: each text as often as the mix takes it in full, and once more the
     words that it takes besides, joined by one space (n_chars, where there is such a column, follows the text).
 
-    Rows of docs without a word leave. Rows that share a doc_id take what the largest of their decisions says."""
+    Rows of docs without a word leave. Rows that share a doc_id, or have none, take what the largest of their decisions says."""
     plan = mix(docs, **settings).where(F.col("taken") > 0).groupBy("doc_id").agg(F.max(F.struct("taken", "rounds", "extra")).alias("__plan"))
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     part = F.array_join(F.flatten(F.transform("__plan.extra", lambda x: F.slice(F.col("__words"), (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int")))), " ")
     whole = F.transform(F.sequence(F.lit(1), F.greatest(F.col("__plan.rounds"), F.lit(1)).cast("int")), lambda i: F.col("text"))
     texts = F.concat(F.when(F.col("__plan.rounds") > 0, whole).otherwise(F.array().cast("array<string>")), F.when(F.size("__plan.extra") > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
-    out = docs.join(plan, docs["doc_id"].cast("bigint") == plan["doc_id"]).drop(plan["doc_id"]).withColumn("__words", F.when(F.size("__plan.extra") > 0, words)).withColumn("__text", F.explode(texts))
+    out = docs.join(plan, docs["doc_id"].cast("bigint").eqNullSafe(plan["doc_id"])).drop(plan["doc_id"]).withColumn("__words", F.when(F.size("__plan.extra") > 0, words)).withColumn("__text", F.explode(texts))
     made = {"text": F.col("__text")} | ({"n_chars": F.length("__text").cast("bigint")} if "n_chars" in docs.columns else {})
     return out.select(*[made[c].alias(c) if c in made else F.col(c) for c in docs.columns])
