@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import os
 import tempfile
 import uuid
@@ -22,14 +24,35 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written once in the shared folder: cuts lineage and survives the loss of executors."""
+_scratch: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch", default=None)
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """df as a table written once in the shared folder: cuts lineage and survives the loss of executors.
+
+    Inside scratch() it goes when that ends, unless it is to be kept."""
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
+    if _scratch.get() is not None and not keep:
+        _scratch.get().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are written inside are deleted at the end; results must be written with keep=True."""
+    token = _scratch.set([])
+    try:
+        yield
+    finally:
+        paths = _scratch.get()
+        _scratch.reset(token)
+        for path in paths:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fold that is never learned from: crc32 of the id as text, modulo 5, is 0."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
