@@ -177,7 +177,7 @@ def _candidates(c: _Chunk, answers: pa.Table, window: int, size: int, buckets: i
     return start[keep], full[keep], inside[0][keep] > 0
 
 
-def repeats(docs: DataFrame, window: int = 13, chunk_bytes: int = 8 << 20, min_chunks: int = 48) -> DataFrame:
+def repeats(docs: DataFrame, window: int = 13, chunk_bytes: int = 3 << 20, min_chunks: int = 64) -> DataFrame:
     """docs (doc_id, text, any other columns) with n_words, n_removed, spans (array of word ranges [start, end) that are
     cut, the maximal exact repeats) and kept_text (the words left, joined by one space); these four replace columns of
     the same name.
