@@ -2,7 +2,7 @@
 
 Each component x becomes the integer floor(256 x). With M the largest squared norm of all rows, the point
 (v, sqrt(M - v.v)) lies on a sphere, and for a query (q, 0) the squared distance is q.q + M - 2 q.v: the nearest points
-have the largest inner products. Rows are dealt to blocks of bounded size, every block becomes an M-tree of paged
+have the largest inner products. Inner products are sums of integers in doubles, exact below 2**53. Rows are dealt to blocks of bounded size, every block becomes an M-tree of paged
 nodes whose entries store a routing point, a covering radius and the distance to the parent's routing point. A
 search takes the node with the smallest possible distance first and passes over entries by the triangle inequality on
 stored distances alone, before it computes any. Distances only order and prune (with a margin for
@@ -22,94 +22,102 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_PAGE = 32
+_PAGE = 512
 _MARGIN = 1e-6
 
 
 class MTree:
-    """Points in pages: inner nodes of up to ``page`` children, leaves of up to ``page`` points, built by recursive
-    assignment to the nearest of ``page`` routing points."""
+    """Points of equal norm in pages: inner nodes of up to ``page`` children, leaves of up to ``page`` points, built by
+    recursive assignment to the nearest of farthest-first routing points, which are points themselves.
 
-    def __init__(self, points: np.ndarray, page: int = _PAGE):
-        self.points, self.page = points, page
+    products gives the inner products of points with a query; with the norms of both they are the distances."""
+
+    def __init__(self, values: np.ndarray, square: float, page: int = _PAGE):
+        self.values, self.square, self.page = values, square, page
+        self.norms = (values * values).sum(axis=1)
         self.children: list[np.ndarray] = []  # of inner nodes: node numbers; of leaves: row numbers
         self.leaf: list[bool] = []
-        self.routing: list[np.ndarray] = []  # routing points of the entries
+        self.routing: list[np.ndarray] = []  # the entries' routing points
         self.radius: list[np.ndarray] = []  # covering radii of the entries
         self.parent: list[np.ndarray] = []  # distances of the entries to the node's own routing point
-        self.root = self._build(np.arange(len(points)), points.mean(axis=0) if len(points) else np.zeros(0))
+        self.root = self._build(np.arange(len(values)), 0) if len(values) else -1
+
+    def _apart(self, rows: np.ndarray, row: int) -> np.ndarray:
+        """Distances between points: the last coordinate makes all norms equal."""
+        last = np.sqrt(np.maximum(0.0, self.square - self.norms))
+        product = self.values[rows] @ self.values[row] + last[rows] * last[row]
+        return np.sqrt(np.maximum(0.0, 2 * (self.square - product)))
 
     def _node(self, children, leaf, routing, radius, parent) -> int:
         self.children.append(np.asarray(children))
         self.leaf.append(leaf)
-        self.routing.append(routing)
+        self.routing.append(self.values[routing])
         self.radius.append(radius)
         self.parent.append(parent)
         return len(self.leaf) - 1
 
-    def _build(self, rows: np.ndarray, center: np.ndarray) -> int:
-        own = self.points[rows]
+    def _build(self, rows: np.ndarray, center: int) -> int:
         if len(rows) <= self.page:
-            return self._node(rows, True, own, np.zeros(len(rows)), _distances(own, center))
-        picked = [0]
-        near = _distances(own, own[0])
-        while len(picked) < self.page:  # farthest-first routing points
+            return self._node(rows, True, rows, np.zeros(len(rows)), self._apart(rows, center))
+        fan = max(2, min(self.page, -(-2 * len(rows) // self.page)))
+        picked, to = [center if center in rows else int(rows[0])], []
+        near = np.full(len(rows), np.inf)
+        while True:
+            to.append(self._apart(rows, picked[-1]))
+            near = np.minimum(near, to[-1])
             far = int(np.argmax(near))
-            if near[far] <= 0:
+            if len(picked) == fan or near[far] <= _MARGIN * np.sqrt(self.square):
                 break
-            picked.append(far)
-            near = np.minimum(near, _distances(own, own[far]))
+            picked.append(int(rows[far]))
         if len(picked) == 1:  # all points are equal: pages of them
-            parts = np.array_split(rows, -(-len(rows) // self.page))
-            if len(parts) > self.page:
-                parts = np.array_split(rows, self.page)
-            picked = [0] * len(parts)
+            parts = np.array_split(rows, min(self.page, -(-len(rows) // self.page)))
+            picked, radius = picked * len(parts), np.array([_MARGIN * np.sqrt(self.square)] * len(parts))
         else:
-            to = np.stack([_distances(own, own[p]) for p in picked], axis=1)
-            which = np.argmin(to, axis=1)
+            which = np.argmin(np.stack(to), axis=0)
             parts = [rows[which == i] for i in range(len(picked))]
-        routing = own[picked]
-        children = [self._build(part, r) for part, r in zip(parts, routing, strict=True)]
-        radius = np.array([_distances(self.points[part], r).max() for part, r in zip(parts, routing, strict=True)])
-        return self._node(children, False, routing, radius, _distances(routing, center))
-
-    def nearest(self, q: np.ndarray, k: int, score, center: np.ndarray, bound: float = np.inf) -> tuple[list[tuple], int]:
-        """The k best rows by score(rows) (larger first, then smaller second part), and how many distances were computed.
-
-        score gives for rows a list of (score, -id) and their largest possible distance for each score."""
-        best: list[tuple] = []
-        computed = 1
-        start = float(np.sqrt(((q - center) ** 2).sum()))
-        queue = [(0.0, 0, self.root, start)]
-        turn = 0
+            radius = np.array([to[i][which == i].max() for i in range(len(picked))])
+            whole = [i for i, part in enumerate(parts) if len(part)]
+            parts, picked, radius = [parts[i] for i in whole], [picked[i] for i in whole], radius[whole]
+        children = [self._build(part, r) for part, r in zip(parts, picked, strict=True)]
+        return self._node(children, False, np.array(picked), radius, self._apart(np.array(picked), center))
+
+    def nearest(self, q: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[list[tuple[int, int]], int]:
+        """The k best (score, -id) of rows whose id is not own, and how many inner products were computed."""
+        best: list[tuple[int, int]] = []
+        computed, bound, turn = 0, np.inf, 0
+        both = float(q @ q) + self.square
+        queue: list[tuple[float, int, int, float]] = [(0.0, 0, self.root, -1.0)] if self.root >= 0 else []
         while queue:
             low, _, node, to_center = heapq.heappop(queue)
             if low > bound:
                 break
-            radius, parent = self.radius[node], self.parent[node]
-            maybe = np.flatnonzero(np.abs(to_center - parent) - radius <= bound)  # stored distances only
-            if not len(maybe):
-                continue
-            computed += len(maybe)
+            routing, children = self.routing[node], self.children[node]
+            if to_center >= 0 and bound < np.inf:
+                maybe = np.flatnonzero(np.abs(to_center - self.parent[node]) - self.radius[node] <= bound)  # stored distances only
+                routing, children = routing[maybe], children[maybe]
+            else:
+                maybe = slice(None)
+            product = routing @ q
+            computed += len(product)
             if self.leaf[node]:
-                for found in score(self.children[node][maybe]):
+                least = best[0][0] if len(best) == k else -np.inf
+                for i in np.flatnonzero(product >= least):
+                    found = (int(product[i]), -int(ids[children[i]]))
+                    if found[1] == -own:
+                        continue
                     if len(best) < k:
                         heapq.heappush(best, found)
-                    elif found[:2] > best[0][:2]:
+                    elif found > best[0]:
                         heapq.heapreplace(best, found)
                 if len(best) == k:
-                    bound = min(bound, best[0][2])
+                    bound = np.sqrt(max(0.0, both - 2.0 * best[0][0])) * (1 + _MARGIN) + _MARGIN
                 continue
-            to = _distances(self.routing[node][maybe], q)
-            lows = np.maximum(0, to - radius[maybe])
+            to = np.sqrt(np.maximum(0.0, both - 2.0 * product))
+            lows = np.maximum(0.0, to - self.radius[node][maybe])
             for i in np.flatnonzero(lows <= bound):
                 turn += 1
-                heapq.heappush(queue, (float(lows[i]), turn, int(self.children[node][maybe[i]]), float(to[i])))
-        return sorted(best, key=lambda x: (-x[0], -x[1])), computed
-
-
-def _distances(points: np.ndarray, p: np.ndarray) -> np.ndarray:
-    return np.sqrt(((points - p) ** 2).sum(axis=1))
+                heapq.heappush(queue, (float(lows[i]), turn, int(children[i]), float(to[i])))
+        return sorted(best, reverse=True), computed
 
 
 def quantized(vectors: DataFrame) -> DataFrame:
@@ -119,7 +127,19 @@ def quantized(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & F.coalesce(whole, F.lit(False))).select(F.col("vec_id").cast("bigint").alias("vec_id"), F.transform(x, lambda e: F.floor(e.cast("double") * 256)).alias("v"))
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, block_rows: int = 4096, query_rows: int = 4096) -> DataFrame:
+def _matrix(column) -> np.ndarray:
+    """A list column as rows of doubles, shorter ones padded by zeros."""
+    column = column.combine_chunks()
+    column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    flat, cuts = np.asarray(column.flatten(), dtype=float), np.asarray(column.offsets, dtype=np.int64)
+    sizes = np.diff(cuts)
+    out = np.zeros((len(sizes), int(sizes.max(initial=0))))
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    out[row, np.arange(len(flat)) - (cuts[:-1] - cuts[0])[row]] = flat
+    return out
+
+
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, block_rows: int = 16384, query_rows: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by ``every``, the k other rows with the largest
     integer inner products, ties to the smaller vec_id.
 
@@ -140,24 +160,16 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, block_rows: int = 409
     most = float(most or 0)
 
     def search(key, own, wanted):
-        ids, values = np.asarray(own["vec_id"]), own["v"].to_pylist()
-        q_ids, q_values = np.asarray(wanted["vec_id"]), wanted["v"].to_pylist()
+        ids, q_ids = np.asarray(own["vec_id"]), np.asarray(wanted["vec_id"])
         out: list[tuple] = []
         if len(ids) and len(q_ids):
-            width = max(max(map(len, values)), max(map(len, q_values)))
-            ints, asked_ints = (np.array([[*v, *[0] * (width - len(v))] for v in x], dtype=np.int64).reshape(len(x), width) for x in (values, q_values))
-            points = np.column_stack([ints.astype(float), np.sqrt(np.maximum(0.0, most - (ints.astype(float) ** 2).sum(axis=1)))])
-            tree, center = MTree(points), points.mean(axis=0)
-            for q_id, q in zip(q_ids.tolist(), asked_ints, strict=True):
-                square = float((q.astype(float) ** 2).sum()) + most
-
-                def score(found, q=q, q_id=q_id, square=square):
-                    product = ints[found] @ q
-                    limit = np.sqrt(np.maximum(0.0, square - 2.0 * product)) * (1 + _MARGIN) + _MARGIN
-                    return [(int(s), -int(i), float(d)) for s, i, d in zip(product, ids[found], limit, strict=True) if i != q_id]
-
-                best, _ = tree.nearest(np.append(q.astype(float), 0.0), k, score, center)
-                out += [(q_id, -i, s) for s, i, _ in best]
+            values, asked_values = _matrix(own["v"]), _matrix(wanted["v"])
+            width = max(values.shape[1], asked_values.shape[1])
+            values, asked_values = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (values, asked_values))
+            tree = MTree(values, most)
+            for q_id, q in zip(q_ids.tolist(), asked_values, strict=True):
+                best, _ = tree.nearest(q, ids, q_id, k)
+                out += [(q_id, -i, s) for s, i in best]
         return pa.table({"query_id": pa.array([x[0] for x in out], pa.int64()), "vec_id": pa.array([x[1] for x in out], pa.int64()), "score": pa.array([x[2] for x in out], pa.int64())})
 
     found = dealt.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInArrow(search, "query_id bigint, vec_id bigint, score bigint")

@@ -356,13 +356,14 @@ def test_m_tree_ties_and_odd_vectors(spark):
 
 def test_m_tree_avoids_distances():
     rng = np.random.default_rng(8)
-    centers = rng.normal(size=(40, 16)) * 10
-    points = (centers[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 16)) * 0.3).round(3)
-    tree, computed = mtree.MTree(points), 0
-    for q in points[:50]:
-        exact = np.sqrt(((points - q) ** 2).sum(axis=1))
-        best, n = tree.nearest(q, 5, lambda rows, e=exact: [(-float(e[i]), -int(i), float(e[i])) for i in rows], points.mean(axis=0))
-        assert [-i for _, i, _ in best] == np.lexsort((np.arange(4000), exact))[:5].tolist()
+    centers = rng.normal(size=(40, 16)) * 1000
+    points = np.floor(centers[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 16)) * 20)
+    tree, computed, ids = mtree.MTree(points, float((points**2).sum(axis=1).max()), page=32), 0, np.arange(4000)
+    for i, q in enumerate(points[:50]):
+        score = points @ q
+        score[i] = -np.inf
+        best, n = tree.nearest(q, ids, i, 5)
+        assert [(s, -j) for s, j in best] == [(score[j], j) for j in np.lexsort((ids, -score))[:5]]
         computed += n
     assert computed < 50 * 4000 / 4
 
