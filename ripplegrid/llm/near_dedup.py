@@ -6,11 +6,13 @@ a text sees the points of its cells only. The earliest point of each slot is the
 in a slot with probability equal to their weighted Jaccard similarity. A process stops as soon as its next point
 comes after the latest slot is filled, which for long texts is after about one point per shingle.
 
-Signatures are cut into bands. Texts that share a band meet a few leaders of that band (its smallest id, that of the
-smallest hash, and in later rounds, while these find links, members of its largest class), never all their fellows, so work follows the number of
-rows, however large a group of copies is. Pairs that met are verified by the exact multiset overlap of their
-shingles. Copies (equal word sequences) are one class from the start. Linked classes become groups by
-label propagation over written tables.
+Signatures are cut into bands. Texts that share a band meet a few leaders of that band first (its smallest id, that of the
+smallest hash, and in later rounds, while these find links, members of its largest class), so large groups of copies
+are linked by work that follows the number of rows. Texts of bands that hold more than one class after that meet by their
+rarest shingles: two texts of a similarity of at least the threshold share one of the first ``weight - ceil(threshold * weight) + 1``
+in any order of shingles, so of two classes that share a band every pair is compared or excluded by a bound. Pairs that met are
+verified by the exact multiset overlap of their shingles. Copies (equal word sequences) are one class from the start. Linked
+classes become groups by label propagation over written tables.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ _STEP = 0x9E3779B97F4A7C15
 _GOLDEN = np.uint64(_STEP)
 #: At most so many bytes of ids are broadcast; beyond, Spark shuffles both sides.
 _BROADCAST_BYTES = 64 << 20
+_ORDER_BITS = 18  # shingles are ordered by how often their cells of so many bits are met; any order gives the same links
+_BLOCK = 256  # texts of one shingle that one key of the join holds
 
 
 def _points(seed: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,6 +177,66 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
+def _elements(column) -> tuple[np.ndarray, np.ndarray]:
+    """The row and 64-bit value of every element of bags of sorted shingles: the n-th of equal shingles is an element of its own."""
+    raw, at = text_bytes(column.cast(pa.large_binary()))
+    at = at // 4
+    value = np.frombuffer(raw.tobytes(), "<u4").astype(np.uint64)
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    new = np.concatenate([[True], (value[1:] != value[:-1]) | (row[1:] != row[:-1])]) if len(value) else np.zeros(0, bool)
+    edge = np.flatnonzero(new)
+    turn = np.arange(len(value)) - np.repeat(edge, np.diff(np.append(edge, len(value))))
+    return row, mix(value | turn.astype(np.uint64) << np.uint64(32))
+
+
+def _rest(member: DataFrame, table: DataFrame, labels: DataFrame, tried: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b, ca, cb) of texts of bands that hold more than one class that can reach the threshold and were not tried.
+
+    Prefix, length and positional filter: a pair that is left out is of one class or proven to be below the threshold."""
+    apart = member.join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    several = apart.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
+    open_ids = apart.join(several.select("band"), "band", "left_semi").select("id", "content", "root").distinct()
+    own = table.select(F.col("doc_id").alias("id"), "content", "weight", "shingles").dropDuplicates(["id", "content"])
+    rest = written(own.join(open_ids, ["id", "content"]), "near-rest")
+    shift = np.uint64(64 - _ORDER_BITS)
+
+    def count(batches):
+        total = np.zeros(1 << _ORDER_BITS, np.int64)
+        for batch in batches:
+            total += np.bincount((_elements(batch["shingles"])[1] >> shift).astype(np.int64), minlength=len(total))
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(total[cell])], names=["cell", "n"])
+
+    met = rest.select("shingles").mapInArrow(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(1 << _ORDER_BITS, np.int64)
+    often[met["cell"].to_numpy()] = met["n"].to_numpy()
+
+    def prefix(batches):
+        for batch in batches:
+            row, element = _elements(batch["shingles"])
+            order = np.lexsort((element, often[(element >> shift).astype(np.int64)], row))
+            weight = np.bincount(row, minlength=batch.num_rows)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(weight) - weight, weight)
+            kept = place <= (weight - np.ceil(threshold * weight - 1e-9))[row]
+            of = pa.array(row[kept])
+            yield pa.RecordBatch.from_arrays([*[batch[c].take(of) for c in ("id", "content", "root", "weight")], pa.array(element[order][kept].view(np.int64)), pa.array(place[kept])], names=["id", "content", "root", "weight", "element", "place"])
+
+    tokens = written(rest.mapInArrow(prefix, "id bigint, content binary, root bigint, weight bigint, element bigint, place bigint"), "near-prefixes")
+    hot = tokens.groupBy("element").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
+    salted = tokens.join(hot.select("element", F.ceil(F.col("n") / _BLOCK).cast("int").alias("blocks")), "element").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = salted.withColumn("other", other).select("id", "content", "root", "weight", "element", "place", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+    keys = ["element", "low", "high"]
+    left, right = (dealt.select(*keys, *[F.col(c).alias(f"{c}_{s}") for c in ("id", "content", "root", "weight", "place", "mine")]) for s in ("a", "b"))
+    once = (F.col("low") == F.col("high")) | (F.col("mine_a") != F.col("mine_b"))
+    size = F.least("weight_a", "weight_b") >= threshold * F.greatest("weight_a", "weight_b")
+    after = F.least(F.col("weight_a") - F.col("place_a"), F.col("weight_b") - F.col("place_b"))  # this element and those behind it
+    place = F.least("place_a", "place_b") + after >= threshold / (1 + threshold) * (F.col("weight_a") + F.col("weight_b")) - 1e-6
+    pairs = left.join(right, keys).where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & once & size & place)
+    pairs = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("content_a").alias("ca"), F.col("content_b").alias("cb")).distinct()
+    return written(pairs.join(tried, ["a", "b", "ca", "cb"], "left_anti"), "near-pairs")
+
+
 def groups(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands: int = 32, rows: int = 6, rounds: int = 3, leaders_per_class: int = 8) -> DataFrame:
     """doc_id, class_id, group_id, copies of every row of docs (doc_id, text; other columns are not looked at).
 
@@ -213,13 +277,21 @@ def _groups(docs: DataFrame, threshold: float, k: int, bands: int, rows: int, ro
         first = F.col("lead.id") < F.col("id")
         pairs = met.select(*[F.when(first, x).otherwise(y).alias(name) for name, x, y in (("a", F.col("lead.id"), F.col("id")), ("b", F.col("id"), F.col("lead.id")), ("ca", F.col("lead.content"), F.col("content")), ("cb", F.col("content"), F.col("lead.content")))]).distinct()
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = pairs.join(tried, ["a", "b", "ca", "cb"], "left_anti")
         pairs = written(pairs, "near-pairs")
         found = _verified(pairs, table, threshold)
-        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         labels = components(links)
         if turn and not found.limit(1).count():
             break
+    if labels is not None:
+        found = _verified(_rest(member, table, labels, tried, threshold), table, threshold)
+        for x in ("a", "b"):
+            found = found.join(labels.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}")), x, "left").withColumn(f"root_{x}", F.coalesce(f"root_{x}", x))
+        merged = components(found.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct())  # classes, not texts
+        alone = merged.join(labels.select("id"), "id", "left_anti")
+        moved = labels.join(merged.select(F.col("id").alias("root"), F.col("root").alias("new")), "root", "left")
+        labels = moved.select("id", F.coalesce("new", "root").alias("root")).unionByName(alone.select("id", "root"))
     named = classes.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").select("content", "class_id", F.coalesce("root", "class_id").alias("group_id"), "copies")
     return table.select("doc_id", "content").join(named, "content").drop("content")

@@ -329,6 +329,17 @@ def test_near_groups(spark, texts):
     assert {r.doc_id: r.group_id for r in near_dedup.groups(table(spark, "documents")).collect()} == {i: find(i) for i in texts}
 
 
+def test_near_pairs_inside_a_template_family(spark):
+    common = [f"common{i}" for i in range(100)]
+    family = {}
+    for i in range(40):  # two texts at 0.89 of each other, at about 0.6 of all others
+        own = [f"own{i}x{j}" for j in range(32)]
+        family[2 * i], family[2 * i + 1] = " ".join([*common, *own]), " ".join([*common, *own[:-4], *[f"last{i}x{j}" for j in range(4)]])
+    family |= {90: "one two " * 30 + "three", 91: "one two " * 28 + "three"}  # many equal shingles
+    got = {r.doc_id: r.group_id for r in near_dedup.groups(docs(spark, list(family.items())), bands=8, rows=1).collect()}
+    assert got == {i: i - i % 2 for i in family}
+
+
 def test_near_odd_rows(spark):
     got = {r.doc_id: r for r in near_dedup.groups(docs(spark, [*ODD, (None, "one"), (None, "lone"), (4, "one")])).collect()}
     assert got[6].group_id == 5 and got[6].copies == 2 and got[1].class_id == got[2].class_id == got[3].class_id == 1 and got[4].copies == 3
