@@ -40,7 +40,7 @@ def op4_fixed_block_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ripplegrid.llm.substring_dedup import repeats
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), "spans")
+    return repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op5_deficit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +91,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_fixed_block_repeats": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+x AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM d),
+s AS (SELECT doc_id, i, word, word || {" || ".join(f"' ' || lead(word, {n}) OVER w" for n in range(1, 13))} AS long FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+f AS (SELECT long, min(doc_id) AS first FROM s WHERE long IS NOT NULL GROUP BY long),
+m AS (SELECT s.doc_id, i, word, coalesce(first < s.doc_id, false) AS met FROM s LEFT JOIN f USING (long)),
+g AS (SELECT doc_id, i, word, bool_or(met) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM m),
+k AS (SELECT doc_id, count(*) FILTER (gone) AS n, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM g GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+""",
     "op8_m_tree": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v

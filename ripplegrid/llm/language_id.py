@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ripplegrid.llm.common import held_out
+from ripplegrid.llm.common import held_out, lean
 from ripplegrid.llm.wordbytes import text_bytes
 
 UNDETERMINED = "und"
@@ -133,7 +133,7 @@ def fit(docs: DataFrame, per_language: int = 1200, width: int = 2048, max_langua
                 c = np.minimum(trigram_counts(raw[at[i] : at[j]], at[i : j + 1] - at[i], width), 65535).astype(np.uint16)
                 yield pa.RecordBatch.from_arrays([batch["lang"].slice(i, j - i), pa.array([r.tobytes() for r in c], pa.binary())], ["lang", "counts"])
 
-    rows = sample.mapInArrow(count, "lang string, counts binary").collect()
+    rows = sample.mapInArrow(lambda batches: lean(count(batches)), "lang string, counts binary").collect()
     rows.sort(key=lambda r: (r["lang"], r["counts"]))
     languages = sorted({r["lang"] for r in rows})
     counts = np.frombuffer(b"".join(r["counts"] for r in rows), np.uint16).reshape(-1, width).astype(np.float32)
@@ -169,4 +169,4 @@ def identify(docs: DataFrame, model: Model | None, lead: float = 0.1, carry: Seq
                 schema=None, names=[*carried, *made],
             )
 
-    return flagged.mapInArrow(decode, schema)
+    return flagged.mapInArrow(lambda batches: lean(decode(batches)), schema)

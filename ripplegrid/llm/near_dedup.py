@@ -24,14 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplegrid.llm.common import scratch, written
+from ripplegrid.llm.common import lean, scratch, written
 from ripplegrid.llm.wordbytes import mix, rolling, span_hashes, text_bytes, word_spans
 
 _SLICE = 1 << 20
 _STEP = 0x9E3779B97F4A7C15
 _GOLDEN = np.uint64(_STEP)
-#: At most so many bytes of ids are broadcast; beyond, Spark shuffles both sides.
-_BROADCAST_BYTES = 64 << 20
+#: At most so many ids are broadcast (about 64 bytes each in a task's table); beyond, Spark shuffles both sides.
+_BROADCAST_IDS = 1 << 20
+_SALTS = 64  # parts over which the pairs of one leader are dealt
 _ORDER_BITS = 18  # shingles are ordered by how often their cells of so many bits are met; any order gives the same links
 _BLOCK = 256  # texts of one shingle that one key of the join holds
 
@@ -100,7 +101,8 @@ def shingles(raw: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 
 
 def prepared(docs: DataFrame, k: int = 5, bands: int = 32, rows: int = 6) -> DataFrame:
-    """doc_id, content (equal for equal word sequences), weight, bands, shingles (sorted 32-bit hashes) of each text."""
+    """doc_id, text_key (hash of the text as it is), id (hash of its word sequence, so equal for copies), weight, bands,
+    shingles (sorted 64-bit hashes) of each text."""
 
     def prepare(batches):
         for batch in batches:
@@ -118,23 +120,21 @@ def prepared(docs: DataFrame, k: int = 5, bands: int = 32, rows: int = 6) -> Dat
                     key = mix(key * _GOLDEN + part[:, :, r])
                 weight = np.bincount(of, minlength=j - i)
                 kept = np.where(weight > 0, bands, 0)
-                low = (value >> np.uint64(32)).astype("<u4")
                 cuts = np.concatenate([[0], np.cumsum(weight)])
-                content = [hashlib.blake2b(words[a:b].tobytes(), digest_size=16).digest() for a, b in zip(first[:-1], first[1:], strict=True)]
+                content = np.array([int.from_bytes(hashlib.blake2b(words[a:b].tobytes(), digest_size=8).digest(), "little", signed=True) for a, b in zip(first[:-1], first[1:], strict=True)], np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    batch["doc_id"].slice(i, j - i), pa.array(content, pa.binary()), pa.array(weight.astype(np.int64)),
+                    batch["doc_id"].slice(i, j - i), batch["text_key"].slice(i, j - i), pa.array(content), pa.array(weight.astype(np.int64)),
                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)), pa.array(key[weight > 0].reshape(-1).view(np.int64))),
-                    pa.BinaryArray.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((cuts * 4).astype(np.int32)), pa.py_buffer(low)]),
-                ], names=["doc_id", "content", "weight", "bands", "shingles"])
+                    pa.BinaryArray.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((cuts * 8).astype(np.int32)), pa.py_buffer(value.astype("<u8"))]),
+                ], names=["doc_id", "text_key", "id", "weight", "bands", "shingles"])
                 i = j
 
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return written(own.mapInArrow(prepare, "doc_id bigint, content binary, weight bigint, bands array<bigint>, shingles binary"), "near-prepared")
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
+    return written(own.mapInArrow(lambda batches: lean(prepare(batches)), "doc_id bigint, text_key bigint, id bigint, weight bigint, bands array<bigint>, shingles binary"), "near-prepared")
 
 
-def overlap(a: bytes, b: bytes) -> float:
-    """Weighted Jaccard similarity of two multisets of 32-bit values."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+def overlap(x: np.ndarray, y: np.ndarray) -> float:
+    """Weighted Jaccard similarity of two multisets, each given by its elements in ascending order."""
     if not len(x) and not len(y):
         return 1.0
     (ux, cx), (uy, cy) = (np.unique(v, return_counts=True) for v in (x, y))
@@ -143,23 +143,29 @@ def overlap(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def _bags(column) -> list[np.ndarray]:
+    raw, at = text_bytes(column.cast(pa.large_binary()))
+    return [raw[i:j].view("<u8") for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
 def _verified(pairs: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose overlap reaches the threshold, with it."""
+    """The pairs (a, b) whose overlap reaches the threshold, with it. The pairs of one leader are dealt over several parts,
+    each of which gets the leader's shingles once."""
     needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    needed = F.broadcast(needed) if needed.count() * 16 <= _BROADCAST_BYTES else needed
-    bags = table.join(needed, table["doc_id"] == needed["id"], "left_semi").select(F.col("doc_id").alias("id"), "content", "shingles")
-    bags = bags.dropDuplicates(["id", "content"])
-    left = bags.select(F.col("id").alias("a"), F.col("content").alias("ca"), F.col("shingles").alias("sa"))
-    right = bags.select(F.col("id").alias("b"), F.col("content").alias("cb"), F.col("shingles").alias("sb"))
+    needed = F.broadcast(needed) if needed.count() <= _BROADCAST_IDS else needed
+    bags = table.join(needed, "id", "left_semi").select("id", "shingles").dropDuplicates(["id"])
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(_SALTS)).cast("int"))
+    left = salted.select("a", "salt").distinct().join(bags.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+    right = bags.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
 
     def verify(batches):
         for batch in batches:
-            value = np.array([overlap(x, y) for x, y in zip(batch["sa"].to_pylist(), batch["sb"].to_pylist(), strict=True)])
+            value = np.array([overlap(x, y) for x, y in zip(_bags(batch["sa"]), _bags(batch["sb"]), strict=True)])
             keep = np.flatnonzero(value >= threshold)
             yield pa.RecordBatch.from_arrays([batch["a"].take(pa.array(keep)), batch["b"].take(pa.array(keep)), pa.array(value[keep])], names=["a", "b", "similarity"])
 
-    joined = pairs.join(right, ["b", "cb"]).join(left, ["a", "ca"]).select("a", "b", "sa", "sb")
-    return written(joined.mapInArrow(verify, "a bigint, b bigint, similarity double"), "near-links")
+    joined = salted.join(right, "b").join(left, ["a", "salt"]).select("a", "b", "sa", "sb")
+    return written(joined.mapInArrow(lambda batches: lean(verify(batches)), "a bigint, b bigint, similarity double"), "near-links")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -180,24 +186,25 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def _elements(column) -> tuple[np.ndarray, np.ndarray]:
     """The row and 64-bit value of every element of bags of sorted shingles: the n-th of equal shingles is an element of its own."""
     raw, at = text_bytes(column.cast(pa.large_binary()))
-    at = at // 4
-    value = np.frombuffer(raw.tobytes(), "<u4").astype(np.uint64)
+    at = at // 8
+    value = np.frombuffer(raw.tobytes(), "<u8")
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
     new = np.concatenate([[True], (value[1:] != value[:-1]) | (row[1:] != row[:-1])]) if len(value) else np.zeros(0, bool)
     edge = np.flatnonzero(new)
     turn = np.arange(len(value)) - np.repeat(edge, np.diff(np.append(edge, len(value))))
-    return row, mix(value | turn.astype(np.uint64) << np.uint64(32))
+    return row, mix(value + turn.astype(np.uint64) * _GOLDEN)
 
 
 def _rest(member: DataFrame, table: DataFrame, labels: DataFrame, tried: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b, ca, cb) of texts of bands that hold more than one class that can reach the threshold and were not tried.
+    """Pairs (a, b) of texts of bands that hold more than one class that can reach the threshold and were not tried.
 
-    Prefix, length and positional filter: a pair that is left out is of one class or proven to be below the threshold."""
+    Prefix, length and positional filter: a pair that is left out is of one class or proven to be below the threshold. Two
+    texts meet at the first of each run of elements that their prefixes share: where both have the same element just
+    before, they have met there."""
     apart = member.join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
     several = apart.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
-    open_ids = apart.join(several.select("band"), "band", "left_semi").select("id", "content", "root").distinct()
-    own = table.select(F.col("doc_id").alias("id"), "content", "weight", "shingles").dropDuplicates(["id", "content"])
-    rest = written(own.join(open_ids, ["id", "content"]), "near-rest")
+    open_ids = apart.join(several.select("band"), "band", "left_semi").select("id", "root").distinct()
+    rest = written(table.select("id", "weight", "shingles").join(open_ids, "id").dropDuplicates(["id"]), "near-rest")
     shift = np.uint64(64 - _ORDER_BITS)
 
     def count(batches):
@@ -218,46 +225,49 @@ def _rest(member: DataFrame, table: DataFrame, labels: DataFrame, tried: DataFra
             weight = np.bincount(row, minlength=batch.num_rows)
             place = np.arange(len(row)) - np.repeat(np.cumsum(weight) - weight, weight)
             kept = place <= (weight - np.ceil(threshold * weight - 1e-9))[row]
-            of = pa.array(row[kept])
-            yield pa.RecordBatch.from_arrays([*[batch[c].take(of) for c in ("id", "content", "root", "weight")], pa.array(element[order][kept].view(np.int64)), pa.array(place[kept])], names=["id", "content", "root", "weight", "element", "place"])
+            of, value = pa.array(row[kept]), element[order].view(np.int64)
+            last = pa.array(np.roll(value, 1)[kept], mask=place[kept] == 0)
+            yield pa.RecordBatch.from_arrays([*[batch[c].take(of) for c in ("id", "root", "weight")], pa.array(value[kept]), pa.array(place[kept]), last], names=["id", "root", "weight", "element", "place", "last"])
 
-    tokens = written(rest.mapInArrow(prefix, "id bigint, content binary, root bigint, weight bigint, element bigint, place bigint"), "near-prefixes")
+    tokens = written(rest.mapInArrow(lambda batches: lean(prefix(batches)), "id bigint, root bigint, weight bigint, element bigint, place bigint, last bigint"), "near-prefixes")
     hot = tokens.groupBy("element").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
     salted = tokens.join(hot.select("element", F.ceil(F.col("n") / _BLOCK).cast("int").alias("blocks")), "element").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = salted.withColumn("other", other).select("id", "content", "root", "weight", "element", "place", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+    dealt = salted.withColumn("other", other).select("id", "root", "weight", "element", "place", "last", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
     keys = ["element", "low", "high"]
-    left, right = (dealt.select(*keys, *[F.col(c).alias(f"{c}_{s}") for c in ("id", "content", "root", "weight", "place", "mine")]) for s in ("a", "b"))
+    left, right = (dealt.select(*keys, *[F.col(c).alias(f"{c}_{s}") for c in ("id", "root", "weight", "place", "last", "mine")]) for s in ("a", "b"))
     once = (F.col("low") == F.col("high")) | (F.col("mine_a") != F.col("mine_b"))
     size = F.least("weight_a", "weight_b") >= threshold * F.greatest("weight_a", "weight_b")
     after = F.least(F.col("weight_a") - F.col("place_a"), F.col("weight_b") - F.col("place_b"))  # this element and those behind it
     place = F.least("place_a", "place_b") + after >= threshold / (1 + threshold) * (F.col("weight_a") + F.col("weight_b")) - 1e-6
-    pairs = left.join(right, keys).where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & once & size & place)
-    pairs = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("content_a").alias("ca"), F.col("content_b").alias("cb")).distinct()
-    return written(pairs.join(tried, ["a", "b", "ca", "cb"], "left_anti"), "near-pairs")
+    new = F.coalesce(F.col("last_a") != F.col("last_b"), F.lit(True))
+    pairs = left.join(right, keys).where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & once & new & size & place)
+    return written(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
 
 
-def groups(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands: int = 32, rows: int = 6, rounds: int = 3, leaders_per_class: int = 8) -> DataFrame:
+def groups(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands: int = 32, rows: int = 6, rounds: int = 3, leaders_per_class: int = 8, keys: bool = False) -> DataFrame:
     """doc_id, class_id, group_id, copies of every row of docs (doc_id, text; other columns are not looked at).
 
     class_id is the smallest id with the same word sequence (lower-cased ASCII, white space apart), copies the rows of that
     class; group_id the smallest class_id linked to it, directly or through others, by similarity >= threshold.
-    Null and empty texts are copies of each other and of nothing else. A row without an id is in the class and group of
-    its copies, null if all of them lack one. Texts that share no band are not compared: at similarity 0.8 a
-    pair shares none of 32 bands of 6 with a probability below 0.0001.
+    Null and empty texts are copies of each other and of nothing else. Rows without an id take part as all others; their class
+    and group are null if no row of them has an id. Rows that share an id are told apart by their words: with ``keys``,
+    text_key (hash of the text) and group_key (one for each group, whatever its ids) come along.
+    Texts that share no band are not compared: at similarity 0.8 a pair shares none of 32 bands of 6 with a
+    probability below 0.0001.
     """
     with scratch(docs.sparkSession):
-        return written(_groups(docs, threshold, k, bands, rows, rounds, leaders_per_class), "near-groups", keep=True)
+        found = _groups(docs, threshold, k, bands, rows, rounds, leaders_per_class)
+        return written(found if keys else found.drop("text_key", "group_key"), "near-groups", keep=True)
 
 
 def _groups(docs: DataFrame, threshold: float, k: int, bands: int, rows: int, rounds: int, leaders_per_class: int) -> DataFrame:
     table = prepared(docs, k, bands, rows)
-    classes = written(table.groupBy("content").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.max("weight").alias("weight")), "near-classes")
-    one = table.select("doc_id", "content", "bands").join(classes.select(F.col("class_id").alias("doc_id"), "content", "weight"), ["doc_id", "content"]).dropDuplicates(["doc_id", "content"])
-    member = one.select(F.col("doc_id").alias("id"), "content", "weight", F.explode("bands").alias("band"))
+    classes = written(table.groupBy("id").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")), "near-classes")
+    member = table.select("id", "weight", "bands").dropDuplicates(["id"]).select("id", "weight", F.explode("bands").alias("band"))
     shared = member.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     member = written(member.join(shared.select("band"), "band"), "near-bands")
-    who = F.struct("id", "content", "weight")
+    who = F.struct("id", "weight")
     links, tried, labels = None, None, None
     for turn in range(rounds):
         if labels is None:
@@ -274,10 +284,9 @@ def _groups(docs: DataFrame, threshold: float, k: int, bands: int, rows: int, ro
             meeting = some.groupBy("band", "root").agg(F.min_by("who", "slot").alias("who")).select("band", "root", "who.*")
         met = meeting.join(leaders, "band").where((F.col("lead.id") != F.col("id")) & (F.col("lead_root").isNull() | (F.col("lead_root") != F.col("root"))))
         met = met.where(F.least("weight", "lead.weight") >= threshold * F.greatest("weight", "lead.weight"))
-        first = F.col("lead.id") < F.col("id")
-        pairs = met.select(*[F.when(first, x).otherwise(y).alias(name) for name, x, y in (("a", F.col("lead.id"), F.col("id")), ("b", F.col("id"), F.col("lead.id")), ("ca", F.col("lead.content"), F.col("content")), ("cb", F.col("content"), F.col("lead.content")))]).distinct()
+        pairs = met.select(F.least("lead.id", "id").alias("a"), F.greatest("lead.id", "id").alias("b")).distinct()
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b", "ca", "cb"], "left_anti")
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "near-pairs")
         found = _verified(pairs, table, threshold)
         tried = pairs if tried is None else tried.unionByName(pairs)
@@ -293,5 +302,11 @@ def _groups(docs: DataFrame, threshold: float, k: int, bands: int, rows: int, ro
         alone = merged.join(labels.select("id"), "id", "left_anti")
         moved = labels.join(merged.select(F.col("id").alias("root"), F.col("root").alias("new")), "root", "left")
         labels = moved.select("id", F.coalesce("new", "root").alias("root")).unionByName(alone.select("id", "root"))
-    named = classes.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").select("content", "class_id", F.coalesce("root", "class_id").alias("group_id"), "copies")
-    return table.select("doc_id", "content").join(named, "content").drop("content")
+        labels = written(labels, "near-labels")
+        least = labels.join(classes, "id").groupBy("root").agg(F.min("class_id").alias("group_id"))
+        labels = labels.join(least, "root")
+        classes = classes.join(labels, "id", "left").withColumn("group_id", F.when(F.col("root").isNull(), F.col("class_id")).otherwise(F.col("group_id")))
+    else:
+        classes = classes.withColumn("group_id", F.col("class_id")).withColumn("root", F.lit(None).cast("bigint"))
+    named = classes.select("id", "class_id", "group_id", "copies", F.coalesce("root", "id").alias("group_key"))
+    return table.select("doc_id", "text_key", "id").join(named, "id").drop("id")

@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ripplegrid.llm.common import written
+from ripplegrid.llm.common import lean, written
 from ripplegrid.llm.wordbytes import span_hashes, text_bytes
 
 _SLICE = 2 << 20
-_KEPT = 1 << 20  # runs of letters whose ids a worker remembers
+_KEPT = 1 << 17  # runs of letters whose ids a worker remembers
 _KIND = np.full(256, 2, np.uint8)  # 0 white space, 1 letters and non-ASCII, 2 other ASCII
 _KIND[[0x20, *range(0x09, 0x0E)]] = 0
 _KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
@@ -156,7 +156,7 @@ def tokens(docs: DataFrame, path: str, end: int = 1) -> DataFrame:
                 i = j
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
-    return written(rows.mapInArrow(encode, "doc_id bigint, source string, part int, begin bigint, n bigint, ids binary"), "packing-tokens")
+    return written(rows.mapInArrow(lambda batches: lean(encode(batches)), "doc_id bigint, source string, part int, begin bigint, n bigint, ids binary"), "packing-tokens")
 
 
 class Schedule:
@@ -270,4 +270,4 @@ def pack(docs: DataFrame, path: str, length: int = 2048, end: int = 1, max_sourc
                 ids = pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((np.concatenate([[0], total]) * 4).astype(np.int32)), pa.py_buffer(data[flat])])
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(row)), pa.array([s] * len(row), pa.string()), pa.array(start), pa.array(size), ids, pa.array(n[row]), pa.array(sequence), pa.array(offset)], schema=None, names=schema.names)
 
-    return rows.mapInArrow(cut, schema)
+    return rows.mapInArrow(lambda batches: lean(cut(batches)), schema)

@@ -9,11 +9,12 @@ starts in a document with a smaller doc_id. Any window holds a whole aligned blo
 2. extend around those anchors: only windows that hold an anchor are compared in full, and
 3. join the windows that were confirmed to maximal exact repeats and cut those out.
 
-Documents are dealt to chunks by ranges of doc_id, so "smaller doc_id" is "smaller chunk" between chunks
-and is settled inside a chunk without messages. A chunk sends every distinct hash once, packed as bytes
+Documents are dealt to chunks by ranges of doc_id of about as many bytes, so "smaller doc_id" is "smaller chunk"
+between chunks and is settled inside a chunk without messages. A chunk sends every distinct hash once, packed as bytes
 per hash bucket, however often it occurs: a passage that all documents share costs one entry per chunk
-and no group of copies is ever expanded into pairs. Answers are one bit per hash sent. Memory follows
-the size of a chunk and of a bucket; the numbers of both follow the size of the input.
+and no group of copies is ever expanded into pairs. Answers are one bit per hash sent. Bytes sent follow the input;
+rows are chunks times buckets, but never more than the hashes, as a bucket that a chunk has nothing for gets no row.
+A chunk and a bucket are of fixed bytes, whatever the input.
 """
 
 from __future__ import annotations
@@ -68,12 +69,10 @@ def _key(values: np.ndarray, buckets: int) -> np.ndarray:
     return _bucket(values, buckets) << np.uint64(32) | (values & np.uint64(0xFFFFFFFF))
 
 
-def _cuts(sent_buckets: np.ndarray, buckets: int) -> np.ndarray:
-    return np.searchsorted(sent_buckets, np.arange(buckets + 1, dtype=np.uint64))
-
-
-def _pieces(values: np.ndarray, cuts: np.ndarray) -> list[bytes]:
-    return [values[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+def _packed(values: np.ndarray, of: np.ndarray, buckets: np.ndarray) -> pa.Array:
+    """The values of each of the given ascending buckets as bytes; of: the bucket of each value, ascending, all of them given."""
+    cuts = np.concatenate([[0], np.searchsorted(of, buckets, "right")]) * values.itemsize
+    return pa.BinaryArray.from_buffers(pa.binary(), len(buckets), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
 class _Groups:
@@ -97,24 +96,30 @@ class _Groups:
         return out
 
 
-def _messages(chunk: int, buckets: int, probes: list[bytes], blocks: list[bytes]) -> pa.Table:
-    rows = [(b, p, q) for b, (p, q) in enumerate(zip(probes, blocks, strict=True)) if p or q]
+def _messages(chunk: int, probes: np.ndarray, of_probes: np.ndarray, blocks: np.ndarray, of_blocks: np.ndarray) -> pa.Table:
+    """A row for each bucket that has values of the chunk; of_: the bucket of each value."""
+    buckets = distinct(np.concatenate([of_probes, of_blocks]))
     return pa.table({
-        "bucket": pa.array([r[0] for r in rows], pa.int32()), "chunk": pa.array([chunk] * len(rows), pa.int32()),
-        "probes": pa.array([r[1] for r in rows], pa.binary()), "blocks": pa.array([r[2] for r in rows], pa.binary()),
+        "bucket": pa.array(buckets.astype(np.int32)), "chunk": pa.array(np.full(len(buckets), chunk, np.int32)),
+        "probes": _packed(probes, of_probes, buckets), "blocks": _packed(blocks, of_blocks, buckets),
     })
 
 
-def _met(keys: np.ndarray, chunks: np.ndarray, asked: np.ndarray, asker: np.ndarray, earlier: bool) -> np.ndarray:
-    """For each asked key: is it among the keys of a smaller (or else a larger) chunk?"""
-    if not len(keys) or not len(asked):
-        return np.zeros(len(asked), bool)
-    order = np.lexsort((chunks, keys))
-    keys, chunks = keys[order], chunks[order]
+def _met(probes: np.ndarray, of_probe: np.ndarray, blocks: np.ndarray, of_block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which probes are among the blocks of a smaller chunk, and which blocks among the probes of a larger one."""
+    if not len(probes) or not len(blocks):
+        return np.zeros(len(probes), bool), np.zeros(len(blocks), bool)
+    order = np.argsort(blocks, kind="stable")
+    keys = blocks[order]
     edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    found, best = keys[edge], chunks[edge] if earlier else chunks[np.append(edge[1:], len(keys)) - 1]
-    i = np.minimum(np.searchsorted(found, asked), len(found) - 1)
-    return (found[i] == asked) & ((best[i] < asker) if earlier else (best[i] > asker))
+    found, least = keys[edge], np.minimum.reduceat(of_block[order], edge)
+    at = np.minimum(np.searchsorted(found, probes), len(found) - 1)
+    hit = found[at] == probes
+    most = np.full(len(found), -1, np.int32)
+    np.maximum.at(most, at[hit], of_probe[hit])
+    later = np.empty(len(blocks), bool)
+    later[order] = np.repeat(most, np.diff(np.append(edge, len(keys)))) > of_block[order]
+    return hit & (least[at] < of_probe), later
 
 
 def _joined(column, dtype) -> tuple[np.ndarray, np.ndarray]:
@@ -128,13 +133,13 @@ def _bits(met: np.ndarray, counts: np.ndarray) -> list[bytes]:
     return [np.packbits(met[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def _unpacked(answers: pa.Table, name: str, counts: np.ndarray) -> np.ndarray:
-    """The bits of all buckets in the order in which the hashes were sent."""
-    out = np.zeros(int(counts.sum()), dtype=bool)
-    at = np.concatenate([[0], np.cumsum(counts)])
-    for bucket, bits in zip(answers["bucket"].to_pylist(), answers[name].to_pylist(), strict=True):
-        n = int(counts[bucket])
-        out[at[bucket] : at[bucket] + n] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+def _unpacked(answers: pa.Table, name: str, of: np.ndarray) -> np.ndarray:
+    """The bits of all answers in the order in which the hashes were sent; of: the bucket of each, ascending."""
+    out = np.zeros(len(of), dtype=bool)
+    if answers.num_rows:
+        buckets = np.asarray(answers["bucket"]).astype(np.uint64)
+        for a, b, bits in zip(np.searchsorted(of, buckets, "left"), np.searchsorted(of, buckets, "right"), answers[name].to_pylist(), strict=True):
+            out[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
     return out
 
 
@@ -161,11 +166,11 @@ def _candidates(c: _Chunk, answers: pa.Table, window: int, size: int, buckets: i
     at, h, aligned = _anchors(c, size)
     groups = _Groups(_key(h, buckets))
     probe, ref = _local(groups, c.rank[c.row[at]], aligned)
-    of = (groups.distinct >> np.uint64(32)).astype(np.int64)
-    probe |= groups.spread(_unpacked(answers, "probes", np.bincount(of, minlength=buckets)))
+    of = groups.distinct >> np.uint64(32)
+    probe |= groups.spread(_unpacked(answers, "probes", of))
     sent = groups.any(aligned)
     met = np.zeros(len(sent), bool)
-    met[sent] = _unpacked(answers, "blocks", np.bincount(of[sent], minlength=buckets))
+    met[sent] = _unpacked(answers, "blocks", of[sent])
     ref |= aligned & groups.spread(met)
     start, full = c.windows(window)
     marks = np.zeros((2, len(c.words) + 1), np.int32)
@@ -177,41 +182,37 @@ def _candidates(c: _Chunk, answers: pa.Table, window: int, size: int, buckets: i
     return start[keep], full[keep], inside[0][keep] > 0
 
 
-def repeats(docs: DataFrame, window: int = 13, chunk_bytes: int = 3 << 20, min_chunks: int = 64) -> DataFrame:
+def repeats(docs: DataFrame, window: int = 13, chunk_bytes: int = 3 << 20, bucket_bytes: int = 8 << 20, min_chunks: int = 64) -> DataFrame:
     """docs (doc_id, text, any other columns) with n_words, n_removed, spans (array of word ranges [start, end) that are
     cut, the maximal exact repeats) and kept_text (the words left, joined by one space); these four replace columns of
     the same name.
 
     Null texts have no words; texts of fewer than ``window`` words and rows without a doc_id are kept whole.
-    Rows that share a doc_id are one document for "smaller".
-    Windows count as equal if 64-bit hashes of their words are.
+    Rows that share a doc_id are one document for "smaller" and lie in one chunk, as a document is judged as a whole.
+    Windows count as equal if 64-bit hashes of their words are. A bucket has the hashes of about ``bucket_bytes`` of text.
     """
     size = (window + 1) // 2
     own = docs.select(*[c for c in docs.columns if c not in _MADE], F.col("doc_id").cast("bigint").alias(_ID), F.col("text").cast("string").alias(_TEXT))
-    parts = max(min_chunks, -(-text_volume(docs) // chunk_bytes))
-    bounds = range_bounds(own, _ID, parts)
-    buckets = parts
-    chunked = own.withColumn(_CHUNK, F.coalesce(range_part(F.col(_ID), bounds), F.lit(0)))
+    volume = text_volume(docs)
+    parts, buckets = max(min_chunks, -(-volume // chunk_bytes)), max(16, -(-volume // bucket_bytes))
+    bounds = range_bounds(own.select(_ID, F.octet_length(_TEXT).alias("bytes")), _ID, parts, F.coalesce("bytes", F.lit(0)) + 16)
+    anywhere = F.pmod(F.xxhash64(_TEXT), F.lit(len(bounds) + 1)).cast("int")  # rows without an id take no part
+    chunked = own.withColumn(_CHUNK, F.when(F.col(_ID).isNull(), anywhere).otherwise(range_part(F.col(_ID), bounds)))
 
     def ask(key, table):
         c = _Chunk(table)
         _, h, aligned = _anchors(c, size)
         keys = _key(h, buckets)
         sent = [distinct(keys), distinct(keys[aligned])]
-        low = [(x & np.uint64(0xFFFFFFFF)).astype(np.uint32) for x in sent]
-        return _messages(key[0].as_py(), buckets, *[_pieces(v, _cuts(x >> np.uint64(32), buckets)) for v, x in zip(low, sent, strict=True)])
+        return _messages(key[0].as_py(), *[y for x in sent for y in ((x & np.uint64(0xFFFFFFFF)).astype(np.uint32), x >> np.uint64(32))])
 
     def answer(dtype):
         def of_bucket(key, table):
-            chunk = np.asarray(table["chunk"])
+            chunk = np.asarray(table["chunk"]).astype(np.int32)
             probes, n_probes = _joined(table["probes"], dtype)
             blocks, n_blocks = _joined(table["blocks"], dtype)
-            of_probe, of_block = np.repeat(chunk, n_probes), np.repeat(chunk, n_blocks)
-            return pa.table({
-                "chunk": table["chunk"], "bucket": table["bucket"],
-                "probes": pa.array(_bits(_met(blocks, of_block, probes, of_probe, True), n_probes), pa.binary()),
-                "blocks": pa.array(_bits(_met(probes, of_probe, blocks, of_block, False), n_blocks), pa.binary()),
-            })
+            earlier, later = _met(probes, np.repeat(chunk, n_probes), blocks, np.repeat(chunk, n_blocks))
+            return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "probes": pa.array(_bits(earlier, n_probes), pa.binary()), "blocks": pa.array(_bits(later, n_blocks), pa.binary())})
 
         return of_bucket
 
@@ -219,7 +220,7 @@ def repeats(docs: DataFrame, window: int = 13, chunk_bytes: int = 3 << 20, min_c
         c = _Chunk(table)
         _, full, later = _candidates(c, answers, window, size, buckets)
         sent = [distinct(full[later]), distinct(full)]
-        return _messages(_chunk_of(key, table), buckets, *[_pieces(x, _cuts(_bucket(x, buckets), buckets)) for x in sent])
+        return _messages(_chunk_of(key, table), *[y for x in sent for y in (x, _bucket(x, buckets))])
 
     def cut_out(key, table, anchors, found):
         c = _Chunk(table)
@@ -227,7 +228,7 @@ def repeats(docs: DataFrame, window: int = 13, chunk_bytes: int = 3 << 20, min_c
         groups = _Groups(full)
         sent = groups.any(later)
         elsewhere = np.zeros(len(sent), bool)
-        elsewhere[sent] = _unpacked(found, "probes", np.bincount(_bucket(groups.distinct[sent], buckets).astype(np.int64), minlength=buckets))
+        elsewhere[sent] = _unpacked(found, "probes", _bucket(groups.distinct[sent], buckets))
         rank = c.rank[c.row[start]]
         first = rank[groups.order][groups.new]  # stable order: the first of equal windows has the smallest doc_id
         met = groups.spread(elsewhere) | (groups.spread(first) < rank)
