@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplegrid.llm import language_id, mixing, near_dedup, packing, substring_dedup
-from ripplegrid.llm.common import written
+from ripplegrid.llm.common import removed, scratch, written
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,13 +27,13 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays; of rows that share an id, one.
-
-    Rows without an id stay unless their text is that of another such row."""
-    groups = near_dedup.groups(docs.select("doc_id", "text"))
-    first = groups.where(F.col("doc_id") == F.col("group_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
+    """Of each group of near-duplicates the row with the smallest id stays (of several, that of the smallest hash of its text;
+    rows without an id come last). Texts of different groups that share an id all stay."""
+    found = near_dedup.groups(docs.select("doc_id", "text"), keys=True)
+    first = found.groupBy("group_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.text_key").alias("__key"))
+    own = docs.withColumn("__text_key", F.xxhash64(F.col("text").cast("string")))
+    kept = own.join(first, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__text_key"]).select(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,6 +70,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages, one after the other, on the documents of sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark):  # what a stage has written goes with it, and so does the stage before
+            kept, docs = docs, written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"), keep=True)
+        if i:
+            removed(kept)
     return STAGES[-1][1](spark, docs, sf_dir)
