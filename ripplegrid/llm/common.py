@@ -80,6 +80,14 @@ def lean(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Arrow batches of at most so many bytes, unless the session has a limit of its own: whole texts go through them, and a
+    batch is held several times over on its way to a Python worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "64MB"):
+        spark.conf.set(key, size)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fold that is never learned from: crc32 of the id as text, modulo 5, is 0."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))

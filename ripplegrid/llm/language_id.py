@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ripplegrid.llm.common import held_out, lean
+from ripplegrid.llm.common import held_out, lean, small_batches
 from ripplegrid.llm.wordbytes import text_bytes
 
 UNDETERMINED = "und"
@@ -117,6 +117,7 @@ class Model:
 
 def fit(docs: DataFrame, per_language: int = 1200, width: int = 2048, max_languages: int = 256) -> Model | None:
     """A model learned from text and lang of the rows outside the held-out fold; None if no such row has a letter."""
+    small_batches(docs.sparkSession)
     labelled = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
     seen = labelled.groupBy("lang").count().limit(max_languages + 1).collect()
     if len(seen) > max_languages:

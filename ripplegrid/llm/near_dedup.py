@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplegrid.llm.common import lean, scratch, written
+from ripplegrid.llm.common import lean, scratch, small_batches, written
 from ripplegrid.llm.wordbytes import mix, rolling, span_hashes, text_bytes, word_spans
 
-_SLICE = 1 << 20
+_SLICE = 1 << 19
 _STEP = 0x9E3779B97F4A7C15
 _GOLDEN = np.uint64(_STEP)
 #: At most so many ids are broadcast (about 64 bytes each in a task's table); beyond, Spark shuffles both sides.
@@ -35,6 +35,19 @@ _BROADCAST_IDS = 1 << 20
 _SALTS = 64  # parts over which the pairs of one leader are dealt
 _ORDER_BITS = 18  # shingles are ordered by how often their cells of so many bits are met; any order gives the same links
 _BLOCK = 256  # texts of one shingle that one key of the join holds
+_BYTES = 6  # of each shingle's hash are kept for the comparison
+
+
+def _cut(values: np.ndarray) -> np.ndarray:
+    """The upper 48 bits of ascending 64-bit values, as bytes."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - _BYTES :]).reshape(-1)
+
+
+def _uncut(raw: np.ndarray) -> np.ndarray:
+    """The 48-bit values that _cut has kept."""
+    out = np.zeros((len(raw) // _BYTES, 8), np.uint8)
+    out[:, :_BYTES] = raw.reshape(-1, _BYTES)
+    return out.reshape(-1).view("<u8")
 
 
 def _points(seed: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,7 +115,7 @@ def shingles(raw: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 
 def prepared(docs: DataFrame, k: int = 5, bands: int = 32, rows: int = 6) -> DataFrame:
     """doc_id, text_key (hash of the text as it is), id (hash of its word sequence, so equal for copies), weight, bands,
-    shingles (sorted 64-bit hashes) of each text."""
+    shingles (sorted 48-bit hashes) and row (a number of its own) of each text."""
 
     def prepare(batches):
         for batch in batches:
@@ -125,12 +138,13 @@ def prepared(docs: DataFrame, k: int = 5, bands: int = 32, rows: int = 6) -> Dat
                 yield pa.RecordBatch.from_arrays([
                     batch["doc_id"].slice(i, j - i), batch["text_key"].slice(i, j - i), pa.array(content), pa.array(weight.astype(np.int64)),
                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)), pa.array(key[weight > 0].reshape(-1).view(np.int64))),
-                    pa.BinaryArray.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((cuts * 8).astype(np.int32)), pa.py_buffer(value.astype("<u8"))]),
+                    pa.BinaryArray.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((cuts * _BYTES).astype(np.int32)), pa.py_buffer(_cut(value))]),
                 ], names=["doc_id", "text_key", "id", "weight", "bands", "shingles"])
                 i = j
 
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
-    return written(own.mapInArrow(lambda batches: lean(prepare(batches)), "doc_id bigint, text_key bigint, id bigint, weight bigint, bands array<bigint>, shingles binary"), "near-prepared")
+    made = own.mapInArrow(lambda batches: lean(prepare(batches)), "doc_id bigint, text_key bigint, id bigint, weight bigint, bands array<bigint>, shingles binary")
+    return written(made.withColumn("row", F.monotonically_increasing_id()), "near-prepared")
 
 
 def overlap(x: np.ndarray, y: np.ndarray) -> float:
@@ -145,15 +159,21 @@ def overlap(x: np.ndarray, y: np.ndarray) -> float:
 
 def _bags(column) -> list[np.ndarray]:
     raw, at = text_bytes(column.cast(pa.large_binary()))
-    return [raw[i:j].view("<u8") for i, j in zip(at[:-1], at[1:], strict=True)]
+    return [_uncut(raw[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
+def _bags_of(ids: DataFrame, table: DataFrame, classes: DataFrame) -> DataFrame:
+    """id, weight, shingles of the given distinct ids: of each the row that stands for its class."""
+    rows = ids.join(classes.select("id", "row"), "id").select("row")
+    rows = F.broadcast(rows) if ids.count() <= _BROADCAST_IDS else rows
+    return table.join(rows, "row", "left_semi").select("id", "weight", "shingles")
 
 
-def _verified(pairs: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, table: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose overlap reaches the threshold, with it. The pairs of one leader are dealt over several parts,
     each of which gets the leader's shingles once."""
     needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    needed = F.broadcast(needed) if needed.count() <= _BROADCAST_IDS else needed
-    bags = table.join(needed, "id", "left_semi").select("id", "shingles").dropDuplicates(["id"])
+    bags = _bags_of(needed, table, classes)
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(_SALTS)).cast("int"))
     left = salted.select("a", "salt").distinct().join(bags.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
     right = bags.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
@@ -186,8 +206,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def _elements(column) -> tuple[np.ndarray, np.ndarray]:
     """The row and 64-bit value of every element of bags of sorted shingles: the n-th of equal shingles is an element of its own."""
     raw, at = text_bytes(column.cast(pa.large_binary()))
-    at = at // 8
-    value = np.frombuffer(raw.tobytes(), "<u8")
+    at = at // _BYTES
+    value = _uncut(raw)
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
     new = np.concatenate([[True], (value[1:] != value[:-1]) | (row[1:] != row[:-1])]) if len(value) else np.zeros(0, bool)
     edge = np.flatnonzero(new)
@@ -195,7 +215,7 @@ def _elements(column) -> tuple[np.ndarray, np.ndarray]:
     return row, mix(value + turn.astype(np.uint64) * _GOLDEN)
 
 
-def _rest(member: DataFrame, table: DataFrame, labels: DataFrame, tried: DataFrame, threshold: float) -> DataFrame:
+def _rest(member: DataFrame, table: DataFrame, classes: DataFrame, labels: DataFrame, tried: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of texts of bands that hold more than one class that can reach the threshold and were not tried.
 
     Prefix, length and positional filter: a pair that is left out is of one class or proven to be below the threshold. Two
@@ -204,7 +224,8 @@ def _rest(member: DataFrame, table: DataFrame, labels: DataFrame, tried: DataFra
     apart = member.join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
     several = apart.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
     open_ids = apart.join(several.select("band"), "band", "left_semi").select("id", "root").distinct()
-    rest = written(table.select("id", "weight", "shingles").join(open_ids, "id").dropDuplicates(["id"]), "near-rest")
+    open_ids = written(open_ids, "near-open")
+    rest = written(_bags_of(open_ids.select("id"), table, classes).join(open_ids, "id"), "near-rest")
     shift = np.uint64(64 - _ORDER_BITS)
 
     def count(batches):
@@ -262,9 +283,10 @@ def groups(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands: int = 32,
 
 
 def _groups(docs: DataFrame, threshold: float, k: int, bands: int, rows: int, rounds: int, leaders_per_class: int) -> DataFrame:
+    small_batches(docs.sparkSession)
     table = prepared(docs, k, bands, rows)
-    classes = written(table.groupBy("id").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")), "near-classes")
-    member = table.select("id", "weight", "bands").dropDuplicates(["id"]).select("id", "weight", F.explode("bands").alias("band"))
+    classes = written(table.groupBy("id").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.min("row").alias("row")), "near-classes")
+    member = table.join(classes.select("row"), "row", "left_semi").select("id", "weight", F.explode("bands").alias("band"))
     shared = member.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     member = written(member.join(shared.select("band"), "band"), "near-bands")
     who = F.struct("id", "weight")
@@ -288,14 +310,14 @@ def _groups(docs: DataFrame, threshold: float, k: int, bands: int, rows: int, ro
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "near-pairs")
-        found = _verified(pairs, table, threshold)
+        found = _verified(pairs, table, classes, threshold)
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         labels = components(links)
         if turn and not found.limit(1).count():
             break
     if labels is not None:
-        found = _verified(_rest(member, table, labels, tried, threshold), table, threshold)
+        found = _verified(_rest(member, table, classes, labels, tried, threshold), table, classes, threshold)
         for x in ("a", "b"):
             found = found.join(labels.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}")), x, "left").withColumn(f"root_{x}", F.coalesce(f"root_{x}", x))
         merged = components(found.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct())  # classes, not texts

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ripplegrid.llm.common import lean, written
+from ripplegrid.llm.common import lean, small_batches, written
 from ripplegrid.llm.wordbytes import span_hashes, text_bytes
 
 _SLICE = 2 << 20
@@ -238,6 +238,7 @@ def pack(docs: DataFrame, path: str, length: int = 2048, end: int = 1, max_sourc
     docs has doc_id, text and source (null is a source of its own), other columns are not looked at; a null text is empty.
     ids are little-endian unsigned 32-bit. Rows that share a doc_id are packed one by one. No rows give no pieces.
     """
+    small_batches(docs.sparkSession)
     table = tokens(docs, path, end)
     by_part = table.groupBy("source", "part").agg(F.sum("n").alias("n"))
     totals = by_part.groupBy("source").agg(F.sum("n").alias("n")).limit(max_sources + 1).collect()

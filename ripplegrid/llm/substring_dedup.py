@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ripplegrid.llm.common import range_bounds, range_part, text_volume
+from ripplegrid.llm.common import range_bounds, range_part, small_batches, text_volume
 from ripplegrid.llm.wordbytes import distinct, rolling, span_hashes, text_bytes, word_spans
 
 _ID, _TEXT, _CHUNK = "__doc_id", "__text", "__chunk"
@@ -191,6 +191,7 @@ def repeats(docs: DataFrame, window: int = 13, chunk_bytes: int = 3 << 20, bucke
     Rows that share a doc_id are one document for "smaller" and lie in one chunk, as a document is judged as a whole.
     Windows count as equal if 64-bit hashes of their words are. A bucket has the hashes of about ``bucket_bytes`` of text.
     """
+    small_batches(docs.sparkSession)
     size = (window + 1) // 2
     own = docs.select(*[c for c in docs.columns if c not in _MADE], F.col("doc_id").cast("bigint").alias(_ID), F.col("text").cast("string").alias(_TEXT))
     volume = text_volume(docs)
