@@ -18,6 +18,8 @@ classes become groups by label propagation over written tables.
 from __future__ import annotations
 
 import hashlib
+import operator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,8 @@ _BROADCAST_IDS = 1 << 20
 _SALTS = 64  # parts over which the pairs of one leader are dealt
 _ORDER_BITS = 18  # shingles are ordered by how often their cells of so many bits are met; any order gives the same links
 _BLOCK = 256  # texts of one shingle that one key of the join holds
+_BEFORE = 32  # elements before it that come along with each element of a prefix
+_SETS = 8  # longs of a text's bitmap: each bit tells whether it has an odd number of the elements that fall there
 _BYTES = 6  # of each shingle's hash are kept for the comparison
 
 
@@ -218,15 +222,15 @@ def _elements(column) -> tuple[np.ndarray, np.ndarray]:
 def _rest(member: DataFrame, table: DataFrame, classes: DataFrame, labels: DataFrame, tried: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of texts of bands that hold more than one class that can reach the threshold and were not tried.
 
-    Prefix, length and positional filter: a pair that is left out is of one class or proven to be below the threshold. Two
-    texts meet at the first of each run of elements that their prefixes share: where both have the same element just
-    before, they have met there."""
+    Prefix, length, positional and bitmap filter (two texts differ in at least as many elements as their bitmaps in bits): a pair that is left out is of one class or proven to be below the threshold. Two
+    texts meet at an element that their prefixes share only if the few before it have none in common: otherwise they have met
+    at one of those, and the first that they share is never passed over."""
     apart = member.join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
     several = apart.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
     open_ids = apart.join(several.select("band"), "band", "left_semi").select("id", "root").distinct()
     open_ids = written(open_ids, "near-open")
     rest = written(_bags_of(open_ids.select("id"), table, classes).join(open_ids, "id"), "near-rest")
-    shift = np.uint64(64 - _ORDER_BITS)
+    shift, sets = np.uint64(64 - _ORDER_BITS), [f"set{i}" for i in range(_SETS)]
 
     def count(batches):
         total = np.zeros(1 << _ORDER_BITS, np.int64)
@@ -247,22 +251,30 @@ def _rest(member: DataFrame, table: DataFrame, classes: DataFrame, labels: DataF
             place = np.arange(len(row)) - np.repeat(np.cumsum(weight) - weight, weight)
             kept = place <= (weight - np.ceil(threshold * weight - 1e-9))[row]
             of, value = pa.array(row[kept]), element[order].view(np.int64)
-            last = pa.array(np.roll(value, 1)[kept], mask=place[kept] == 0)
-            yield pa.RecordBatch.from_arrays([*[batch[c].take(of) for c in ("id", "root", "weight")], pa.array(value[kept]), pa.array(place[kept]), last], names=["id", "root", "weight", "element", "place", "last"])
-
-    tokens = written(rest.mapInArrow(lambda batches: lean(prefix(batches)), "id bigint, root bigint, weight bigint, element bigint, place bigint, last bigint"), "near-prefixes")
+            at, many = np.flatnonzero(kept), np.minimum(place[kept], _BEFORE)
+            ends = np.cumsum(many)
+            ahead = np.arange(ends[-1] if len(ends) else 0) + np.repeat(at - ends, many)  # places of the elements before each
+            last = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(value[ahead]))
+            odd = np.bincount(row * (64 * _SETS) + (element & np.uint64(64 * _SETS - 1)).astype(np.int64), minlength=batch.num_rows * 64 * _SETS) & 1
+            bits = np.packbits(odd.astype(np.uint8)).view("<i8").reshape(-1, _SETS)[row[kept]]
+            yield pa.RecordBatch.from_arrays([*[batch[c].take(of) for c in ("id", "root", "weight")], pa.array(value[kept]), pa.array(place[kept]), last, *map(pa.array, bits.T.copy())], names=["id", "root", "weight", "element", "place", "last", *sets])
+
+    tokens = written(rest.mapInArrow(lambda batches: lean(prefix(batches)), "id bigint, root bigint, weight bigint, element bigint, place bigint, last array<bigint>, " + ", ".join(f"{x} bigint" for x in sets)), "near-prefixes")
     hot = tokens.groupBy("element").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
     salted = tokens.join(hot.select("element", F.ceil(F.col("n") / _BLOCK).cast("int").alias("blocks")), "element").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = salted.withColumn("other", other).select("id", "root", "weight", "element", "place", "last", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+    dealt = salted.withColumn("other", other).select("id", "root", "weight", "element", "place", "last", *sets, "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
     keys = ["element", "low", "high"]
-    left, right = (dealt.select(*keys, *[F.col(c).alias(f"{c}_{s}") for c in ("id", "root", "weight", "place", "last", "mine")]) for s in ("a", "b"))
+    left, right = (dealt.select(*keys, *[F.col(c).alias(f"{c}_{s}") for c in ("id", "root", "weight", "place", "last", *sets, "mine")]) for s in ("a", "b"))
     once = (F.col("low") == F.col("high")) | (F.col("mine_a") != F.col("mine_b"))
     size = F.least("weight_a", "weight_b") >= threshold * F.greatest("weight_a", "weight_b")
     after = F.least(F.col("weight_a") - F.col("place_a"), F.col("weight_b") - F.col("place_b"))  # this element and those behind it
     place = F.least("place_a", "place_b") + after >= threshold / (1 + threshold) * (F.col("weight_a") + F.col("weight_b")) - 1e-6
-    new = F.coalesce(F.col("last_a") != F.col("last_b"), F.lit(True))
-    pairs = left.join(right, keys).where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & once & new & size & place)
+    apart = reduce(operator.add, [F.bit_count(F.col(f"{x}_a").bitwiseXOR(F.col(f"{x}_b"))) for x in sets])  # elements of only one of them, at least
+    both = F.col("weight_a") + F.col("weight_b")
+    far = both - apart >= threshold * (both + apart) - 1e-6
+    new = ~F.arrays_overlap("last_a", "last_b")
+    pairs = left.join(right, keys).where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & once & size & place & far & new)
     return written(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
 
 
@@ -286,10 +298,10 @@ def _groups(docs: DataFrame, threshold: float, k: int, bands: int, rows: int, ro
     small_batches(docs.sparkSession)
     table = prepared(docs, k, bands, rows)
     classes = written(table.groupBy("id").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.min("row").alias("row")), "near-classes")
-    member = table.join(classes.select("row"), "row", "left_semi").select("id", "weight", F.explode("bands").alias("band"))
+    member = table.join(classes.select("row", "class_id"), "row").select("id", "weight", F.col("class_id").alias("first"), F.explode("bands").alias("band"))
     shared = member.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     member = written(member.join(shared.select("band"), "band"), "near-bands")
-    who = F.struct("id", "weight")
+    who = F.struct(F.col("first").isNull().alias("last"), "first", "id", "weight")  # the least is that of the smallest doc_id
     links, tried, labels = None, None, None
     for turn in range(rounds):
         if labels is None:
@@ -303,7 +315,7 @@ def _groups(docs: DataFrame, threshold: float, k: int, bands: int, rows: int, ro
             some = written(some, "near-classes")
             largest = some.groupBy("band", "root").agg(F.sum("n").alias("n")).groupBy("band").agg(F.max(F.struct("n", "root")).alias("x"), F.count("*").alias("classes")).where("classes > 1").select("band", F.col("x.root").alias("lead_root"))
             leaders = some.join(largest, "band").where("root = lead_root").select("band", F.col("who").alias("lead"), "lead_root")
-            meeting = some.groupBy("band", "root").agg(F.min_by("who", "slot").alias("who")).select("band", "root", "who.*")
+            meeting = some.groupBy("band", "root").agg(F.min_by("who", "slot").alias("who")).select("band", "root", "who.id", "who.weight")
         met = meeting.join(leaders, "band").where((F.col("lead.id") != F.col("id")) & (F.col("lead_root").isNull() | (F.col("lead_root") != F.col("root"))))
         met = met.where(F.least("weight", "lead.weight") >= threshold * F.greatest("weight", "lead.weight"))
         pairs = met.select(F.least("lead.id", "id").alias("a"), F.greatest("lead.id", "id").alias("b")).distinct()
