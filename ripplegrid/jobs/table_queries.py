@@ -156,11 +156,13 @@ def midpoint_losses(spark, sf_dir):
 
 
 def eligible_nodes(spark, sf_dir):
-    return graph.all_of_kind(_links(spark, sf_dir).where("a < 5 OR b > 17"), "kind", "pipe")
+    """Nodes without a valve; a link between two nodes of round number has one."""
+    links = _links(spark, sf_dir).withColumn("kind", F.when((F.col("a") % 5 == 0) & (F.col("b") % 5 == 0), "valve").otherwise("pipe"))
+    return graph.all_of_kind(links, "kind", "pipe")
 
 
 def neighbour_mean(spark, sf_dir):
-    return graph.neighbour_mean(_nodes(spark, sf_dir), _links(spark, sf_dir).where("q1 > 100 AND kind = 'pipe'"), "size")
+    return graph.neighbour_mean(_nodes(spark, sf_dir), _links(spark, sf_dir).where("kind = 'pipe'"), "size")
 
 
 def edge_union(spark, sf_dir):
@@ -171,8 +173,8 @@ def edge_union(spark, sf_dir):
 
 
 def path_distance(spark, sf_dir):
-    arcs = graph.doubled(_links(spark, sf_dir).where("(a + 2 * b) % 7 = 0")).join(_links(spark, sf_dir).select("link", "q1"), "link").select("src", "dst", (1 + F.col("link") % 7).cast("double").alias("length"))
-    return graph.distances(arcs, _nodes(spark, sf_dir).where("node < 5"), 3)
+    arcs = graph.doubled(_links(spark, sf_dir)).join(_links(spark, sf_dir).select("link", "q1"), "link").select("src", "dst", (1 + F.col("link") % 7).cast("double").alias("length"))
+    return graph.distances(arcs, _nodes(spark, sf_dir))
 
 
 def static_scaling(spark, sf_dir):
@@ -210,15 +212,15 @@ def _plan(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     part = F.when(F.year("o_orderdate") < 1999, "train").when(F.year("o_orderdate") < 2000, "validation").otherwise("test")
     begin = F.datediff("o_orderdate", F.lit("1992-01-01").cast("date")) % 600 * 24
-    return o.where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("variant"), part.alias("partition"), begin.cast("bigint").alias("begin"), (begin + 6).cast("bigint").alias("finish"))
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("variant"), part.alias("partition"), begin.cast("bigint").alias("begin"), (begin + 6).cast("bigint").alias("finish"))
 
 
-_PLAN = "p AS (SELECT o_orderkey AS id, o_custkey AS variant, CASE WHEN year(o_orderdate) < 1999 THEN 'train' WHEN year(o_orderdate) < 2000 THEN 'validation' ELSE 'test' END AS part, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) % 600 * 24 AS b FROM orders WHERE o_orderkey % 7 = 0)"
+_PLAN = "p AS (SELECT o_orderkey AS id, o_custkey AS variant, CASE WHEN year(o_orderdate) < 1999 THEN 'train' WHEN year(o_orderdate) < 2000 THEN 'validation' ELSE 'test' END AS part, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) % 600 * 24 AS b FROM orders)"
 
 
 def plan_overlap(spark, sf_dir):
-    """Pairs of planned episodes of different partitions that overlap, counted by the earlier id."""
-    return plan.overlapping(_plan(spark, sf_dir), 72).groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("first"))
+    """Pairs of planned episodes of different partitions that overlap, counted by the hour in which they begin to."""
+    return plan.overlaps(_plan(spark, sf_dir))
 
 
 def partition_contract(spark, sf_dir):
@@ -363,16 +365,16 @@ QUERIES = {
     line_features: f"WITH {_LINKS} SELECT link, s.n_regionkey AS start_n_regionkey, t.n_regionkey AS end_n_regionkey, length(s.n_name)::DOUBLE AS start_size, length(t.n_name)::DOUBLE AS end_size, q1 FROM l JOIN nation s ON s.n_nationkey = a JOIN nation t ON t.n_nationkey = b",
     node_balance: f"WITH {_LINKS}, e AS (SELECT b AS node, q2 AS q FROM l UNION ALL SELECT a, -q1 FROM l), ok AS (SELECT a AS node FROM l WHERE kind = 'pipe' UNION SELECT b FROM l WHERE kind = 'pipe') SELECT node, round(sum(q), 4) AS balance FROM e SEMI JOIN ok USING (node) GROUP BY node",
     midpoint_losses: f"WITH {_LINKS} SELECT link, round(q1 - q2, 4) AS loss FROM l",
-    eligible_nodes: f"WITH {_LINKS}, e AS (SELECT a AS node, kind FROM l WHERE a < 5 OR b > 17 UNION ALL SELECT b, kind FROM l WHERE a < 5 OR b > 17) SELECT node, count(*) AS degree FROM e GROUP BY node HAVING bool_and(kind = 'pipe')",
-    neighbour_mean: f"WITH {_LINKS}, e AS (SELECT a AS src, b AS dst FROM l WHERE q1 > 100 AND kind = 'pipe' UNION ALL SELECT b, a FROM l WHERE q1 > 100 AND kind = 'pipe') SELECT n.n_nationkey AS node, round(coalesce(avg(length(s.n_name)), 0), 6) AS mean FROM nation n LEFT JOIN e ON e.dst = n.n_nationkey LEFT JOIN nation s ON s.n_nationkey = e.src GROUP BY 1",
+    eligible_nodes: f"WITH {_LINKS}, k AS (SELECT a, b, CASE WHEN a % 5 = 0 AND b % 5 = 0 THEN 'valve' ELSE 'pipe' END AS kind FROM l), e AS (SELECT a AS node, kind FROM k UNION ALL SELECT b, kind FROM k) SELECT node, count(*) AS degree FROM e GROUP BY node HAVING bool_and(kind = 'pipe')",
+    neighbour_mean: f"WITH {_LINKS}, e AS (SELECT a AS src, b AS dst FROM l WHERE kind = 'pipe' UNION ALL SELECT b, a FROM l WHERE kind = 'pipe') SELECT n.n_nationkey AS node, round(coalesce(avg(length(s.n_name)), 0), 6) AS mean FROM nation n LEFT JOIN e ON e.dst = n.n_nationkey LEFT JOIN nation s ON s.n_nationkey = e.src GROUP BY 1",
     edge_union: f"WITH {_LINKS}, u AS (SELECT a AS src, b AS dst, 0 AS origin FROM l WHERE kind = 'pipe' UNION ALL SELECT b, a, 0 FROM l WHERE kind = 'pipe' UNION ALL SELECT n_nationkey, (n_nationkey + 1) % 25, 1 FROM nation) SELECT src, dst, min(origin) AS origin FROM u GROUP BY 1, 2",
-    path_distance: f"WITH {_LINKS}, e AS (SELECT a AS src, b AS dst, (1 + link % 7)::DOUBLE AS w FROM l WHERE (a + 2 * b) % 7 = 0 UNION ALL SELECT b, a, (1 + link % 7)::DOUBLE FROM l WHERE (a + 2 * b) % 7 = 0), s AS (SELECT n_nationkey AS source, n_nationkey AS node, 0::DOUBLE AS d FROM nation WHERE n_nationkey < 5), r1 AS (SELECT source, node, min(d) AS d FROM (SELECT * FROM s UNION ALL SELECT source, dst, d + w FROM s JOIN e ON src = node) GROUP BY 1, 2), r2 AS (SELECT source, node, min(d) AS d FROM (SELECT * FROM r1 UNION ALL SELECT source, dst, d + w FROM r1 JOIN e ON src = node) GROUP BY 1, 2) SELECT source, node, min(d) AS distance FROM (SELECT * FROM r2 UNION ALL SELECT source, dst, d + w FROM r2 JOIN e ON src = node) GROUP BY 1, 2",
+    path_distance: f"WITH {_LINKS}, e AS (SELECT a AS src, b AS dst, (1 + link % 7)::DOUBLE AS w FROM l UNION ALL SELECT b, a, (1 + link % 7)::DOUBLE FROM l), d0 AS MATERIALIZED (SELECT source, node, min(d) AS d FROM (SELECT src AS source, dst AS node, w AS d FROM e UNION ALL SELECT n_nationkey, n_nationkey, 0::DOUBLE FROM nation) GROUP BY 1, 2), d1 AS MATERIALIZED (SELECT source, node, min(d) AS d FROM (SELECT * FROM d0 UNION ALL SELECT x.source, y.node, x.d + y.d FROM d0 x JOIN d0 y ON y.source = x.node) GROUP BY 1, 2), d2 AS MATERIALIZED (SELECT source, node, min(d) AS d FROM (SELECT * FROM d1 UNION ALL SELECT x.source, y.node, x.d + y.d FROM d1 x JOIN d1 y ON y.source = x.node) GROUP BY 1, 2), d3 AS MATERIALIZED (SELECT source, node, min(d) AS d FROM (SELECT * FROM d2 UNION ALL SELECT x.source, y.node, x.d + y.d FROM d2 x JOIN d2 y ON y.source = x.node) GROUP BY 1, 2), d4 AS MATERIALIZED (SELECT source, node, min(d) AS d FROM (SELECT * FROM d3 UNION ALL SELECT x.source, y.node, x.d + y.d FROM d3 x JOIN d3 y ON y.source = x.node) GROUP BY 1, 2), d5 AS MATERIALIZED (SELECT source, node, min(d) AS d FROM (SELECT * FROM d4 UNION ALL SELECT x.source, y.node, x.d + y.d FROM d4 x JOIN d4 y ON y.source = x.node) GROUP BY 1, 2) SELECT source, node, d AS distance FROM d5",
     static_scaling: "SELECT n_nationkey AS node, round((length(n_name) - avg(length(n_name)) OVER ()) / stddev_pop(length(n_name)) OVER (), 9) AS size FROM nation",
     background_hourly: f"WITH {GRID}, m AS (SELECT entity, hour(hour) AS h, avg(score) FILTER (hour < TIMESTAMP '2024-01-15') AS b FROM g GROUP BY 1, 2) SELECT g.hour, g.entity, round(b, 6) AS background, round(score - b, 6) AS residual FROM g JOIN m ON m.entity = g.entity AND m.h = hour(g.hour)",
     event_gains: f"WITH {GRID}, {_STUDY} SELECT * FROM gn",
     diff_in_diff: f"WITH {GRID}, {_STUDY} SELECT entity, round(avg(gain) FILTER (\"case\" = 'event'), 6) AS event_gain, round(avg(gain) FILTER (\"case\" <> 'event'), 8) AS control_gain, round(avg(gain) FILTER (\"case\" = 'event') - avg(gain) FILTER (\"case\" <> 'event'), 8) AS difference FROM gn GROUP BY entity",
     concurrent_events: f"WITH {GRID}, {_STUDY} SELECT a.entity, a.anchor, count(e.event_id) AS n FROM a LEFT JOIN events e ON e.event_type = 'purchase' AND e.user_id <> a.entity AND e.ts >= a.anchor - INTERVAL 6 HOUR AND e.ts < a.anchor + INTERVAL 7 HOUR GROUP BY 1, 2",
-    plan_overlap: f"WITH {_PLAN} SELECT x.id AS a, count(*) AS n, min(y.id) AS first FROM p x JOIN p y ON x.id < y.id AND x.part <> y.part AND x.b < y.b + 6 AND y.b < x.b + 6 GROUP BY 1",
+    plan_overlap: f"WITH {_PLAN} SELECT greatest(x.b, y.b) AS slot, count(*) AS pairs FROM p x JOIN p y ON x.part < y.part AND x.b < y.b + 6 AND y.b < x.b + 6 GROUP BY 1",
     partition_contract: f"WITH {_PLAN} SELECT variant, count(DISTINCT part) AS partitions FROM p GROUP BY 1 HAVING count(DISTINCT part) > 1",
     repeated_keys: "SELECT l_orderkey || '/' || l_linenumber AS key, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1",
     resume_anti_join: f"WITH {_PLAN} SELECT id, part AS partition FROM p WHERE id NOT IN (SELECT id FROM p WHERE variant % 3 <> 0)",

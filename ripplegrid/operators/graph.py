@@ -62,16 +62,47 @@ def union_edges(first: DataFrame, second: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.min("origin").alias("origin"))
 
 
-def distances(arcs: DataFrame, sources: DataFrame, steps: int) -> DataFrame:
-    """source, node, distance: shortest paths of at most ``steps`` arcs (src, dst, length) by rounds of relaxation."""
-    best = sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("distance"))
-    for _ in range(steps):
-        longer = best.join(arcs, best["node"] == arcs["src"]).select("source", F.col("dst").alias("node"), (F.col("distance") + F.col("length")).alias("distance"))
-        best = best.unionByName(longer).groupBy("source", "node").agg(F.min("distance").alias("distance"))
-    return best
+def distances(arcs: DataFrame, sources: DataFrame) -> DataFrame:
+    """source, node, distance: shortest paths over arcs (src, dst, length >= 0) by rounds of relaxation until nothing changes.
+
+    Each round extends only what the round before has shortened, and its table is checkpointed to cut the lineage."""
+    best = sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("distance"), F.lit(True).alias("new"))
+    while True:
+        longer = best.where("new").join(arcs, best["node"] == arcs["src"]).groupBy("source", F.col("dst").alias("node")).agg(F.min(F.col("distance") + F.col("length")).alias("found"))
+        both = best.drop("new").join(longer, ["source", "node"], "full")
+        shorter = F.col("distance").isNull() | (F.col("found") < F.col("distance"))
+        best = both.select("source", "node", F.least("distance", "found").alias("distance"), F.coalesce(shorter, F.lit(False)).alias("new"))
+        best = best.checkpoint() if best.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else best.persist()
+        if not best.where("new").limit(1).count():
+            return best.drop("new")
 
 
 def standard_static(nodes: DataFrame, fields: list[str]) -> DataFrame:
     """nodes with the fields z-scored by population deviation (1 if it is tiny)."""
     stats = nodes.agg(*[x for f in fields for x in (F.avg(f).alias(f"{f}__c"), F.stddev_pop(f).alias(f"{f}__s"))]).first()
     return nodes.withColumns({f: (F.col(f) - F.lit(stats[f"{f}__c"])) / F.lit(stats[f"{f}__s"] if stats[f"{f}__s"] and stats[f"{f}__s"] >= 1e-6 else 1.0) for f in fields})
+
+
+def positive_losses(links: DataFrame, q1: str = "q1", q2: str = "q2") -> DataFrame:
+    """link, loss: what is lost at the midpoint; a gain counts as none."""
+    return links.select("link", F.round(F.greatest(F.col(q1) - F.col(q2), F.lit(0.0)), 4).alias("loss"))
+
+
+def typed(links: DataFrame, kind: str, kinds: list[str]) -> DataFrame:
+    """links with a 0/1 column is_<kind> for each of the kinds."""
+    return links.withColumns({f"is_{k}": (F.col(kind) == k).cast("int") for k in kinds})
+
+
+def geometry(links: DataFrame, places: DataFrame) -> DataFrame:
+    """link, length, x, y: the distance between a link's ends and the point half-way; places has node, x, y."""
+    ends = [places.select(F.col("node").alias(e), F.col("x").alias(f"x_{e}"), F.col("y").alias(f"y_{e}")) for e in ("a", "b")]
+    both = links.join(ends[0], "a").join(ends[1], "b")
+    return both.select("link", F.round(F.hypot(F.col("x_a") - F.col("x_b"), F.col("y_a") - F.col("y_b")), 6).alias("length"), ((F.col("x_a") + F.col("x_b")) / 2).alias("x"), ((F.col("y_a") + F.col("y_b")) / 2).alias("y"))
+
+
+def boundary(links: DataFrame, edge: DataFrame) -> DataFrame:
+    """link, segment: of the links with one end among the nodes of ``edge``, which half (1: the start's) touches it."""
+    marked = links
+    for end in ("a", "b"):
+        marked = marked.join(edge.select(F.col("node").alias(end), F.lit(True).alias(f"on_{end}")), end, "left").withColumn(f"on_{end}", F.coalesce(f"on_{end}", F.lit(False)))
+    return marked.where(F.col("on_a") != F.col("on_b")).select("link", F.when(F.col("on_a"), 1).otherwise(2).alias("segment"))

@@ -83,3 +83,16 @@ def mean_of_means(df: DataFrame, episode: str, value: str) -> DataFrame:
 def per_event(df: DataFrame, event: str, value: str) -> DataFrame:
     """One row: n events, mean of the events' own means."""
     return df.groupBy(event).agg(F.avg(value).alias("m")).agg(F.count("*").alias("n"), F.round(F.avg("m"), 9).alias("mean"))
+
+
+def conservation_loss(balances: DataFrame, losses: DataFrame, at_nodes: float, at_links: float) -> DataFrame:
+    """One row: the mean squared balance of the nodes and the mean squared loss of the links, each in its own scale."""
+    nodes = balances.agg(F.avg(F.pow(F.col("balance") / at_nodes, 2)).alias("x"))
+    links = losses.agg(F.avg(F.pow(F.col("loss") / at_links, 2)).alias("y"))
+    return nodes.crossJoin(F.broadcast(links)).select(F.round(F.col("x") + F.col("y"), 6).alias("loss"))  # one row each
+
+
+def errors(rows: DataFrame, truth: str, guess: str) -> DataFrame:
+    """One row: mae, rmse, n."""
+    gap = F.col(guess) - F.col(truth)
+    return rows.agg(F.round(F.avg(F.abs(gap)), 6).alias("mae"), F.round(F.sqrt(F.avg(gap * gap)), 6).alias("rmse"), F.count("*").alias("n"))
