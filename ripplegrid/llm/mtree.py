@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 _PAGE = 512
 _MARGIN = 1e-6
+_WHOLE = float(1 << 53)  # products of vectors of smaller squared norms are exact in doubles
 
 
 class MTree:
@@ -122,9 +123,15 @@ class MTree:
 
 def quantized(vectors: DataFrame) -> DataFrame:
     """vec_id, v: floor(256 x) of every component; only rows with an id and finite components that are all there."""
-    x = F.col("embedding")
+    x, most = F.col("embedding"), float(1 << 62)
     whole = x.isNotNull() & ~F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
-    return vectors.where(F.col("vec_id").isNotNull() & F.coalesce(whole, F.lit(False))).select(F.col("vec_id").cast("bigint").alias("vec_id"), F.transform(x, lambda e: F.floor(e.cast("double") * 256)).alias("v"))
+    part = lambda e: F.floor(F.greatest(F.least(e.cast("double") * 256, F.lit(most)), F.lit(-most)))
+    return vectors.where(F.col("vec_id").isNotNull() & F.coalesce(whole, F.lit(False))).select(F.col("vec_id").cast("bigint").alias("vec_id"), F.transform(x, part).alias("v"))
+
+
+def _exact(q: list[int], v: list[int]) -> int:
+    """The inner product of integers of any size, at the ends of bigint at most."""
+    return max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(q, v))))
 
 
 def _matrix(column) -> np.ndarray:
@@ -145,9 +152,12 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, block_rows: int = 163
 
     vectors has vec_id and embedding, other columns are not looked at. Shorter vectors count as padded by zeros. Rows that repeat
     an id are candidates one by one, but never of a query with their id; a repeated query id is one query, its first vector in order.
+    Components saturate at 2**62 and scores at the ends of bigint; vectors of a squared norm from 2**53 on, whose products doubles
+    do not hold, are compared one by one in whole numbers.
     """
     rows = quantized(vectors)
-    n, most = rows.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0).cast("bigint"), lambda s, e: s + e * e))).first()
+    norm = F.aggregate("v", F.lit(0.0), lambda s, e: s + e.cast("double") * e.cast("double"))
+    n, most = rows.agg(F.count("*"), F.max(F.when(norm < _WHOLE, norm))).first()
     blocks = max(1, -(-n // block_rows))
     dealt = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "v")
     queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
@@ -166,9 +176,15 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, block_rows: int = 163
             values, asked_values = _matrix(own["v"]), _matrix(wanted["v"])
             width = max(values.shape[1], asked_values.shape[1])
             values, asked_values = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (values, asked_values))
-            tree = MTree(values, most)
-            for q_id, q in zip(q_ids.tolist(), asked_values, strict=True):
-                best, _ = tree.nearest(q, ids, q_id, k)
+            large, wide = np.flatnonzero((values * values).sum(axis=1) >= _WHOLE), (asked_values * asked_values).sum(axis=1) >= _WHOLE
+            rest = np.setdiff1d(np.arange(len(ids)), large)
+            tree = MTree(values[rest], most)
+            for at, (q_id, q) in enumerate(zip(q_ids.tolist(), asked_values, strict=True)):
+                alone = range(len(ids)) if wide[at] else large.tolist()
+                best = [] if wide[at] else tree.nearest(q, ids[rest], q_id, k)[0]
+                if len(alone):
+                    whole = wanted["v"][at].as_py()
+                    best = heapq.nlargest(k, best + [(_exact(whole, own["v"][i].as_py()), -int(ids[i])) for i in alone if ids[i] != q_id])
                 out += [(q_id, -i, s) for s, i in best]
         return pa.table({"query_id": pa.array([x[0] for x in out], pa.int64()), "vec_id": pa.array([x[1] for x in out], pa.int64()), "score": pa.array([x[2] for x in out], pa.int64())})
 

@@ -343,12 +343,29 @@ def test_licenses(spark, texts):
 
 def test_set_join_finds_every_block():
     rng = np.random.default_rng(6)
-    sets = [sorted(rng.choice(30, k, replace=False).tolist()) for k in (2, 5, 9, 12)]
-    rank = rng.permutation(30)
-    lines = [rng.integers(0, 30, rng.integers(1, 25)) for _ in range(400)]
-    block = np.repeat(np.arange(400), [len(x) for x in lines])
-    got = set(zip(*[x.tolist() for x in license_scan.join_blocks(block, np.concatenate(lines), sets, rank, 0.7)[:2]]))
-    assert got == {(i, t) for i, x in enumerate(lines) for t, s in enumerate(sets) if len(set(x.tolist()) & set(s)) >= 0.7 * len(s) - 1e-9}
+    names = [f"w{i}" for i in range(40)]
+    templates = [license_scan.Template(" ".join(rng.choice(names[:30], k, replace=False)), f"t{k}", keys) for k, keys in ((2, ()), (5, ()), (9, ("w3",)), (12, ()))]
+    lexicon = license_scan.Lexicon({"w0 w1": "base"}, templates)
+    number = {w: i for i, w in enumerate(lexicon.words)}
+    texts = [rng.choice(names, rng.integers(1, 60)).tolist() for _ in range(300)]
+    known = [(i, p, number[w]) for i, x in enumerate(texts) for p, w in enumerate(x) if w in number]
+    got = license_scan.join_blocks(*np.array(known).T, lexicon, rng.permutation(len(number)), 0.6)
+    want = set()
+    for i, x in enumerate(texts):
+        for t, (text, _, keys) in enumerate(templates):
+            words, width = set(text.split()), lexicon.widths[t]
+            held = [(len(words & set(x[p : p + width])), -p) for p in range(len(x)) if set(keys) <= set(x[p : p + width]) and x[p] in words]
+            if held and max(held)[0] >= 0.6 * len(words) - 1e-9:
+                want.add((i, t, -max(held)[1], max(held)[0] / len(words)))
+    assert set(got) == want and len(got) == len(want) > 50
+
+
+def test_notices_across_lines_and_look_alikes(spark):
+    rows = [(1, "Redistribution and use in source and binary forms, with or without\nmodification, are permitted."), (2, "released under the Apache License"), (3, "subject to the terms of the Mozilla Public\nLicense, v. 2.0"), (3, None), (None, "x " * 5000 + "licensed under CC BY-NC 4.0")]
+    got = {(r.doc_id, r.n_words): r for r in license_scan.scan(docs(spark, rows)).collect()}
+    assert [got[k].labels for k in sorted(got, key=str)] == ["bsd-notice", "apache", "", "mpl-notice", "cc-by,cc-notice"]
+    own = spark.createDataFrame([("one two three four five six seven", "own", ["seven"])], "text string, label string, keys array<string>")
+    assert [r.labels for r in license_scan.scan(docs(spark, [(1, "zero one two, three\nfour six SEVEN"), (2, "one two three four five six")]), templates=own).orderBy("doc_id").collect()] == ["own", ""]
 
 
 def test_licenses_odd_rows(spark):
@@ -356,7 +373,7 @@ def test_licenses_odd_rows(spark):
     assert got[1].n_words == 0 and got[1].first_word is None and got[9].base_labels == "gpl" and got[9].first_word == 1 and got[9].score == 1.0
     assert license_scan.scan(docs(spark, [])).count() == 0
     near = license_scan.scan(docs(spark, [(1, "x\nRELEASED under the MIT-like license\n")])).first()
-    assert near.base_labels == "" and near.labels == "mit-notice" and near.matches[0].line == 1
+    assert near.base_labels == "" and near.labels == "mit-notice" and near.matches[0].word == 1
 
 
 # 7
@@ -432,6 +449,8 @@ def test_m_tree_ties_and_odd_vectors(spark):
         want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(order)]
     for block in (8, 4096):
         assert sorted(map(tuple, mtree.top_k(df, block_rows=block).collect())) == want
+    huge = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1e12, 0.0]), (2, [1e300, 1.0]), (3, [3.0, 3.0]), (50, [1e300, 1e300])], "vec_id bigint, embedding array<double>")
+    assert sorted(tuple(r) for r in mtree.top_k(huge, k=2).collect()) == [(0, 1, 2, 2**63 - 1), (0, 2, 50, 2**63 - 1), (50, 1, 0, 2**63 - 1), (50, 2, 1, 2**63 - 1)]
     assert mtree.top_k(df.where("vec_id = 0")).count() == 0 and mtree.top_k(df.where("false")).count() == 0
 
 
