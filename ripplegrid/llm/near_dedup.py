@@ -37,7 +37,7 @@ _BROADCAST_IDS = 1 << 20
 _SALTS = 64  # parts over which the pairs of one leader are dealt
 _ORDER_BITS = 18  # shingles are ordered by how often their cells of so many bits are met; any order gives the same links
 _BLOCK = 256  # texts of one shingle that one key of the join holds
-_BEFORE = 32  # elements before it that come along with each element of a prefix
+_BEFORE = 16  # elements before it that come along with each element of a prefix
 _SETS = 8  # longs of a text's bitmap: each bit tells whether it has an odd number of the elements that fall there
 _BYTES = 6  # of each shingle's hash are kept for the comparison
 
@@ -166,6 +166,16 @@ def _bags(column) -> list[np.ndarray]:
     return [_uncut(raw[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
+def _pieces(batches, size: int = 1 << 18):
+    """The batches in slices of about so many bytes of shingles: what is made of a shingle takes many times its bytes."""
+    for batch in batches:
+        at, i = text_bytes(batch["shingles"].cast(pa.large_binary()))[1], 0
+        while i < batch.num_rows:
+            j = min(batch.num_rows, max(i + 1, int(np.searchsorted(at, at[i] + size))))
+            yield batch.slice(i, j - i)
+            i = j
+
+
 def _bags_of(ids: DataFrame, table: DataFrame, classes: DataFrame) -> DataFrame:
     """id, weight, shingles of the given distinct ids: of each the row that stands for its class."""
     rows = ids.join(classes.select("id", "row"), "id").select("row")
@@ -234,7 +244,7 @@ def _rest(member: DataFrame, table: DataFrame, classes: DataFrame, labels: DataF
 
     def count(batches):
         total = np.zeros(1 << _ORDER_BITS, np.int64)
-        for batch in batches:
+        for batch in _pieces(batches):
             total += np.bincount((_elements(batch["shingles"])[1] >> shift).astype(np.int64), minlength=len(total))
         cell = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(total[cell])], names=["cell", "n"])
@@ -244,7 +254,7 @@ def _rest(member: DataFrame, table: DataFrame, classes: DataFrame, labels: DataF
     often[met["cell"].to_numpy()] = met["n"].to_numpy()
 
     def prefix(batches):
-        for batch in batches:
+        for batch in _pieces(batches):
             row, element = _elements(batch["shingles"])
             order = np.lexsort((element, often[(element >> shift).astype(np.int64)], row))
             weight = np.bincount(row, minlength=batch.num_rows)
