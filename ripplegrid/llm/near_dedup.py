@@ -217,6 +217,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """id, root of every linked id once links (a, b) come to those that the labels hold: roots are joined, not texts, so the work
+    follows the new links."""
+    for x in ("a", "b"):
+        links = links.join(labels.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}")), x, "left").withColumn(f"root_{x}", F.coalesce(f"root_{x}", x))
+    merged = components(links.where("root_a <> root_b").select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct())
+    alone = merged.join(labels.select("id"), "id", "left_anti")
+    moved = labels.join(merged.select(F.col("id").alias("root"), F.col("root").alias("new")), "root", "left")
+    return written(moved.select("id", F.coalesce("new", "root").alias("root")).unionByName(alone.select("id", "root")), "near-labels")
+
+
 def _elements(column) -> tuple[np.ndarray, np.ndarray]:
     """The row and 64-bit value of every element of bags of sorted shingles: the n-th of equal shingles is an element of its own."""
     raw, at = text_bytes(column.cast(pa.large_binary()))
@@ -312,7 +323,7 @@ def _groups(docs: DataFrame, threshold: float, k: int, bands: int, rows: int, ro
     shared = member.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     member = written(member.join(shared.select("band"), "band"), "near-bands")
     who = F.struct(F.col("first").isNull().alias("last"), "first", "id", "weight")  # the least is that of the smallest doc_id
-    links, tried, labels = None, None, None
+    tried, labels = None, None
     for turn in range(rounds):
         if labels is None:
             meeting = member.withColumn("root", F.col("id"))
@@ -334,19 +345,13 @@ def _groups(docs: DataFrame, threshold: float, k: int, bands: int, rows: int, ro
         pairs = written(pairs, "near-pairs")
         found = _verified(pairs, table, classes, threshold)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
         if turn and not found.limit(1).count():
             break
+        labels = components(found) if labels is None else _joined(labels, found)
     if labels is not None:
         found = _verified(_rest(member, table, classes, labels, tried, threshold), table, classes, threshold)
-        for x in ("a", "b"):
-            found = found.join(labels.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}")), x, "left").withColumn(f"root_{x}", F.coalesce(f"root_{x}", x))
-        merged = components(found.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct())  # classes, not texts
-        alone = merged.join(labels.select("id"), "id", "left_anti")
-        moved = labels.join(merged.select(F.col("id").alias("root"), F.col("root").alias("new")), "root", "left")
-        labels = moved.select("id", F.coalesce("new", "root").alias("root")).unionByName(alone.select("id", "root"))
-        labels = written(labels, "near-labels")
+        if found.limit(1).count():
+            labels = _joined(labels, found)
         least = labels.join(classes, "id").groupBy("root").agg(F.min("class_id").alias("group_id"))
         labels = labels.join(least, "root")
         classes = classes.join(labels, "id", "left").withColumn("group_id", F.when(F.col("root").isNull(), F.col("class_id")).otherwise(F.col("group_id")))
