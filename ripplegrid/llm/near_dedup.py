@@ -7,7 +7,7 @@ in a slot with probability equal to their weighted Jaccard similarity. A process
 comes after the latest slot is filled, which for long texts is after about one point per shingle.
 
 Signatures are cut into bands. Texts that share a band meet a few leaders of that band first (its smallest id, that of the
-smallest hash, and in later rounds, while these find links, members of its largest class), so large groups of copies
+smallest hash, and in later rounds, while these find many links, members of its largest class), so large groups of copies
 are linked by work that follows the number of rows. Texts of bands that hold more than one class after that meet by their
 rarest shingles: two texts of a similarity of at least the threshold share one of the first ``weight - ceil(threshold * weight) + 1``
 in any order of shingles, so of two classes that share a band every pair is compared or excluded by a bound. Pairs that met are
@@ -34,6 +34,7 @@ _STEP = 0x9E3779B97F4A7C15
 _GOLDEN = np.uint64(_STEP)
 #: At most so many ids are broadcast (about 64 bytes each in a task's table); beyond, Spark shuffles both sides.
 _BROADCAST_IDS = 1 << 20
+_WORTH = 16  # a further round of leaders must bring one in so many of all links
 _SALTS = 64  # parts over which the pairs of one leader are dealt
 _ORDER_BITS = 18  # shingles are ordered by how often their cells of so many bits are met; any order gives the same links
 _BLOCK = 256  # texts of one shingle that one key of the join holds
@@ -176,18 +177,18 @@ def _pieces(batches, size: int = 1 << 18):
             i = j
 
 
-def _bags_of(ids: DataFrame, table: DataFrame, classes: DataFrame) -> DataFrame:
-    """id, weight, shingles of the given distinct ids: of each the row that stands for its class."""
+def _bags_of(ids: DataFrame, many: int, table: DataFrame, classes: DataFrame) -> DataFrame:
+    """id, weight, shingles of the given ids (``many`` rows, of which some may be alike): of each the row that stands for its class."""
     rows = ids.join(classes.select("id", "row"), "id").select("row")
-    rows = F.broadcast(rows) if ids.count() <= _BROADCAST_IDS else rows
+    rows = F.broadcast(rows) if many <= _BROADCAST_IDS else rows
     return table.join(rows, "row", "left_semi").select("id", "weight", "shingles")
 
 
 def _verified(pairs: DataFrame, table: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose overlap reaches the threshold, with it. The pairs of one leader are dealt over several parts,
     each of which gets the leader's shingles once."""
-    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    bags = _bags_of(needed, table, classes)
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    bags = _bags_of(needed, 2 * pairs.count(), table, classes)
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(_SALTS)).cast("int"))
     left = salted.select("a", "salt").distinct().join(bags.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
     right = bags.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
@@ -204,8 +205,9 @@ def _verified(pairs: DataFrame, table: DataFrame, classes: DataFrame, threshold:
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """id, root of every linked id: root is the smallest id of its component. Rounds of label propagation with pointer jumping,
-    each written to the shared folder; stars, which leaders make, need two or three."""
-    both = written(links.select(F.col(a).alias("id"), F.col(b).alias("other")).unionByName(links.select(F.col(b).alias("id"), F.col(a).alias("other"))).distinct(), "links")
+    each written to the shared folder; stars, which leaders make, need two or three. A link that comes twice does no harm."""
+    ends = F.array(F.struct(F.col(a).alias("id"), F.col(b).alias("other")), F.struct(F.col(b).alias("id"), F.col(a).alias("other")))
+    both = written(links.select(F.inline(ends)), "links")
     labels = written(both.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("root")), "labels")
     while True:
         best = both.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("root").alias("near"))
@@ -250,7 +252,7 @@ def _rest(member: DataFrame, table: DataFrame, classes: DataFrame, labels: DataF
     several = apart.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
     open_ids = apart.join(several.select("band"), "band", "left_semi").select("id", "root").distinct()
     open_ids = written(open_ids, "near-open")
-    rest = written(_bags_of(open_ids.select("id"), table, classes).join(open_ids, "id"), "near-rest")
+    rest = written(_bags_of(open_ids.select("id"), open_ids.count(), table, classes).join(open_ids, "id"), "near-rest")
     shift, sets = np.uint64(64 - _ORDER_BITS), [f"set{i}" for i in range(_SETS)]
 
     def count(batches):
@@ -299,7 +301,7 @@ def _rest(member: DataFrame, table: DataFrame, classes: DataFrame, labels: DataF
     return written(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
 
 
-def groups(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands: int = 32, rows: int = 6, rounds: int = 3, leaders_per_class: int = 8, keys: bool = False) -> DataFrame:
+def groups(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands: int = 32, rows: int = 6, rounds: int = 6, leaders_per_class: int = 8, keys: bool = False) -> DataFrame:
     """doc_id, class_id, group_id, copies of every row of docs (doc_id, text; other columns are not looked at).
 
     class_id is the smallest id with the same word sequence (lower-cased ASCII, white space apart), copies the rows of that
@@ -323,7 +325,7 @@ def _groups(docs: DataFrame, threshold: float, k: int, bands: int, rows: int, ro
     shared = member.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     member = written(member.join(shared.select("band"), "band"), "near-bands")
     who = F.struct(F.col("first").isNull().alias("last"), "first", "id", "weight")  # the least is that of the smallest doc_id
-    tried, labels = None, None
+    tried, labels, linked = None, None, 0
     for turn in range(rounds):
         if labels is None:
             meeting = member.withColumn("root", F.col("id"))
@@ -345,9 +347,13 @@ def _groups(docs: DataFrame, threshold: float, k: int, bands: int, rows: int, ro
         pairs = written(pairs, "near-pairs")
         found = _verified(pairs, table, classes, threshold)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        if turn and not found.limit(1).count():
+        new = found.count()
+        if turn and not new:
             break
         labels = components(found) if labels is None else _joined(labels, found)
+        linked += new
+        if turn and new * _WORTH < linked:  # what few are still apart meet below
+            break
     if labels is not None:
         found = _verified(_rest(member, table, classes, labels, tried, threshold), table, classes, threshold)
         if found.limit(1).count():
