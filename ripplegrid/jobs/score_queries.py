@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplegrid.operators import grid, rank, spatial
+from ripplegrid.operators import compare, grid, rank, spatial
 from ripplegrid.sources.tables import table
 
 GRID = """
@@ -185,24 +185,21 @@ def jaccard_hourly(spark, sf_dir):
 
 
 def comparison_table(spark, sf_dir):
-    """map, mode, hours and metrics of two maps (fine and coarse scores), as they are and smoothed."""
+    """The metrics of two maps (fine and coarse scores), as they are and smoothed, and of their controls; every third entity lies in the zone."""
     x = Inputs(spark, sf_dir)
-    near, weights, out = x.near, spatial.kernel(x.near, x.lengths), None
+    near, weights, maps = x.near, spatial.kernel(x.near, x.lengths), None
     for name, scores in (("fine", x.scores), ("coarse", x.coarse())):
         smooth = spatial.smooth(scores, weights).withColumn("score", F.round("score", 3)).join(scores.select("hour", "entity", "active"), ["hour", "entity"])
         for mode, s in (("raw", scores), ("smoothed", smooth)):
-            top = rank.localisation(s, near, 5).agg(F.count("*").alias("hours"), F.round(F.avg("hit"), 6).alias("top5"))
-            place = rank.average_rank(s).agg(F.round(F.avg("mean_rank"), 4).alias("mean_rank"))
-            both = top.withColumn("k", F.lit(1)).join(place.withColumn("k", F.lit(1)), "k")
-            row = both.select(F.lit(name).alias("map"), F.lit(mode).alias("mode"), "hours", "top5", "mean_rank")
-            out = row if out is None else out.unionByName(row)
-    return out
+            one = s.select(F.lit(name).alias("map"), F.lit(mode).alias("mode"), "hour", "entity", "score", "active")
+            maps = one if maps is None else maps.unionByName(one)
+    return compare.comparison(maps, near, x.lengths, x.users.where("entity % 3 <> 0"))
 
 
 _BUDGET = """
 fold AS (
   SELECT hour, list_reduce(list(struct_pack(left_ := length, got := [struct_pack(entity := entity, place := place)]) ORDER BY place),
-    lambda a, x: CASE WHEN x.left_ <= a.left_ + 1e-9 THEN struct_pack(left_ := a.left_ - x.left_, got := list_concat(a.got, x.got)) ELSE a END,
+    lambda a, x: CASE WHEN x.left_ <= a.left_ THEN struct_pack(left_ := a.left_ - x.left_, got := list_concat(a.got, x.got)) ELSE a END,
     struct_pack(left_ := (SELECT 0.05::DOUBLE * sum(length) FROM lengths), got := []::STRUCT(entity BIGINT, place BIGINT)[])) AS f
   FROM placed JOIN lengths USING (entity) GROUP BY hour
 ), sel AS (SELECT hour, x.entity AS entity, x.place::INTEGER AS place FROM (SELECT hour, unnest(f.got) AS x FROM fold))
@@ -221,12 +218,55 @@ kn AS (SELECT p, q, w / sum(w) OVER (PARTITION BY p) AS weight FROM kw)
 """
 
 
-def _mode(name: str, mode: str) -> str:
-    source = "SELECT * FROM g" if name == "fine" else "SELECT hour, entity, floor(score / 40) AS score, active FROM g"
-    if mode == "smoothed":
-        source = f"SELECT s.hour, s.entity, round(s.score, 3) AS score, g.active FROM (SELECT hour, p AS entity, round(sum(weight * score), 6) AS score FROM ({source}) z JOIN kn ON kn.q = z.entity GROUP BY 1, 2) s JOIN g USING (hour, entity)"
-    ranks = "SELECT hour, avg(pl) AS mean_rank FROM (SELECT *, rank() OVER (PARTITION BY hour ORDER BY score DESC) + (count(*) OVER (PARTITION BY hour, score) - 1) / 2 AS pl FROM m) WHERE active GROUP BY hour"
-    return f"(WITH m AS ({source}), {_HIT.format(k=5)} SELECT '{name}' AS map, '{mode}' AS mode, (SELECT count(*) FROM ({_BY_HOUR})) AS hours, (SELECT round(avg(hit), 6) FROM ({_BY_HOUR})) AS top5, (SELECT round(avg(round(mean_rank, 6)), 4) FROM ({ranks})) AS mean_rank)"
+def _compared() -> str:
+    """SQL of comparison_table: all that is ranked in one table x, each instant under (kind, map, mode, hour)."""
+    z, e = range(3), range(3)
+    smooth = "SELECT s.hour, s.entity, round(s.score, 3) AS score, g.active FROM (SELECT hour, p AS entity, round(sum(weight * score), 6) AS score FROM ({}) y JOIN kn ON kn.q = y.entity GROUP BY 1, 2) s JOIN g USING (hour, entity)"
+    source = {"fine": "SELECT hour, entity, score, active FROM g", "coarse": "SELECT hour, entity, floor(score / 40) AS score, active FROM g"}
+    maps = " UNION ALL ".join(f"SELECT '{n}' AS map, '{mode}' AS mode, hour, entity, score, active FROM ({q if mode == 'raw' else smooth.format(q)})" for n, q in source.items() for mode in ("raw", "smoothed"))
+    key, drawn = "kind, map, mode, hour", "('0x' || substr(md5('9|' || {}), 1, 8))::BIGINT::DOUBLE"
+    top = ", ".join(f"min(score) FILTER (n <= {k}) AS cut{k}, max(rk - 1) FILTER (n <= {k}) AS above{k}, arg_max(same, n) FILTER (n <= {k}) AS ties{k}" for k in (1, 5, 10))
+    near_top = ", ".join(f"bool_or(coalesce(b.score > cut{k}, false)) AS sure{k}, count(*) FILTER (b.score = cut{k}) AS b{k}, any_value(above{k}) AS above{k}, any_value(ties{k}) AS ties{k}" for k in (1, 5, 10))
+    hit = ", ".join(f"CASE WHEN sure{k} THEN 1.0::DOUBLE ELSE 1 - coalesce(list_product(list_transform(range(0, least({k} - above{k}, ties{k})::BIGINT), lambda i: greatest(ties{k} - b{k} - i, 0)::DOUBLE / (ties{k} - i))), 1.0) END AS top{k}, 1 - list_product(list_transform(range(0, least({k}, u)), lambda i: greatest(u - m - i, 0)::DOUBLE / greatest(u - i, 1))) AS random_top{k}" for k in (1, 5, 10))
+    fold = " UNION ALL ".join(f"SELECT {key}, {i} AS budget, unnest(list_reduce(list(struct_pack(left_ := length, got := [entity]) ORDER BY place), lambda a, x: CASE WHEN x.left_ <= a.left_ THEN struct_pack(left_ := a.left_ - x.left_, got := list_concat(a.got, x.got)) ELSE a END, struct_pack(left_ := (SELECT {share}::DOUBLE * sum(length) FROM lengths), got := []::BIGINT[])).got) AS entity FROM xp JOIN lengths USING (entity) WHERE kind <> 'random' GROUP BY {key}" for i, share in enumerate((0.01, 0.05, 0.1)))
+    flags = ", ".join(f"bool_or(budget = {i})::INT AS z{i}" for i in z)
+    cut = ", ".join(f"least(coalesce(min(place) FILTER (sm >= {f}::DOUBLE * t), 400), 400) AS cut{i}" for i, f in enumerate((0.1, 0.2, 0.3)))
+    inside = ", ".join(f"(place <= cut{i})::INT AS e{i}" for i in e)
+    long = {**{f"{r}top{k}": ("hr", f"{r}top{k}") for k in (1, 5, 10) for r in ("", "random_")}, **{f"{r}zone_{b}": (t, f"z{i}") for i, b in enumerate((1, 5, 10)) for r, t in (("", "zo"), ("frozen_", "zf"), ("random_", "zr"))}, **{f"{r}footprint_{b}": (t, f"e{i}") for i, b in enumerate((10, 20, 30)) for r, t in (("", "eo"), ("frozen_", "ef"), ("random_", "er"))}}
+    picked = [f"round(sum(w * {t}.{c}), 6) AS {n}" for n, (t, c) in long.items()]
+    picked += [f"round(sum({w} * {long[n][0]}.{long[n][1]}), 6) AS {n}_{suffix}" for suffix, w in (("per_entity", "wp"), ("outside", "wo")) for n in ("top5", "random_top5", "footprint_20", "random_footprint_20")]
+    return f"""WITH {GRID}, {_KERNEL}, m AS MATERIALIZED ({maps}),
+a AS MATERIALIZED (SELECT map, mode, hour, entity, (entity % 3 <> 0)::INT AS o FROM m WHERE active),
+ah AS (SELECT map, mode, hour, count(*) AS n, sum(o) AS no FROM a GROUP BY ALL), ae AS (SELECT map, mode, entity, count(*) AS np FROM a GROUP BY ALL),
+am AS (SELECT map, mode, count(*) AS hs, count(*) FILTER (no > 0) AS ho FROM ah GROUP BY ALL), an AS (SELECT map, mode, count(*) AS en FROM ae GROUP BY ALL),
+wt AS MATERIALIZED (SELECT a.*, 1.0::DOUBLE / n / hs AS w, 1.0::DOUBLE / np / en AS wp, CASE WHEN o = 1 THEN 1.0::DOUBLE / no / ho ELSE 0 END AS wo FROM a JOIN ah USING (map, mode, hour) JOIN ae USING (map, mode, entity) JOIN am USING (map, mode) JOIN an USING (map, mode)),
+f AS (SELECT map, mode, entity, round(avg(score), 6) AS score FROM (SELECT *, dense_rank() OVER (PARTITION BY map, mode, entity ORDER BY hour) AS n FROM m) WHERE n <= 24 GROUP BY ALL),
+x AS MATERIALIZED (SELECT 'own' AS kind, map, mode, hour, entity, score FROM m UNION ALL SELECT 'frozen', map, mode, TIMESTAMP '1970-01-01', entity, score FROM f
+  UNION ALL SELECT 'draw', d::VARCHAR, '', TIMESTAMP '1970-01-01', entity, {drawn.format("'draw|' || d || '|' || entity")} FROM users, range(16) t(d)
+  UNION ALL SELECT 'random', '', '', hour, entity, {drawn.format("'hour|' || strftime(hour, '%Y%m%d%H') || '|' || entity")} FROM g),
+xp AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY score DESC, entity) AS place FROM x),
+bs AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER h AS n, rank() OVER h AS rk, count(*) OVER (PARTITION BY map, mode, hour, score) AS same FROM m WINDOW h AS (PARTITION BY map, mode, hour ORDER BY score DESC)) WHERE rk <= 10),
+ct AS (SELECT map, mode, hour, {top} FROM bs GROUP BY ALL),
+nh AS (SELECT wt.map, wt.mode, wt.hour, wt.entity, {near_top} FROM wt JOIN near ON near.p = wt.entity JOIN ct USING (map, mode, hour) LEFT JOIN bs b ON b.map = wt.map AND b.mode = wt.mode AND b.hour = wt.hour AND b.entity = near.q GROUP BY ALL),
+cn AS (SELECT p AS entity, count(*) AS m, (SELECT count(*) FROM users) AS u FROM near GROUP BY p),
+hr AS (SELECT map, mode, hour, entity, {hit} FROM nh JOIN cn USING (entity)),
+sl AS MATERIALIZED ({fold}),
+zc AS MATERIALIZED (SELECT {key}, near.q AS entity, {flags} FROM sl JOIN near ON near.p = sl.entity GROUP BY ALL),
+zo AS (SELECT * FROM zc WHERE kind = 'own'), zf AS (SELECT * FROM zc WHERE kind = 'frozen'), zr AS (SELECT entity, {", ".join(f"sum(z{i}) / 16 AS z{i}" for i in z)} FROM zc WHERE kind = 'draw' GROUP BY entity),
+fs AS MATERIALIZED (SELECT {key}, q AS entity, min(place) AS place FROM xp JOIN near ON near.p = xp.entity WHERE kind <> 'draw' GROUP BY ALL),
+gw AS (SELECT {key}, place, sum(length) AS nw FROM fs JOIN lengths USING (entity) GROUP BY ALL),
+gc AS (SELECT {key}, {cut} FROM (SELECT *, sum(nw) OVER (PARTITION BY {key} ORDER BY place) AS sm FROM gw), (SELECT sum(length) AS t FROM lengths) GROUP BY ALL),
+ei AS MATERIALIZED (SELECT {key}, entity, {inside} FROM fs JOIN gc USING ({key})),
+eo AS (SELECT * FROM ei WHERE kind = 'own'), ef AS (SELECT * FROM ei WHERE kind = 'frozen'), er AS (SELECT * FROM ei WHERE kind = 'random'),
+sums AS (SELECT wt.map, wt.mode, {", ".join(picked)} FROM wt JOIN hr USING (map, mode, hour, entity)
+  JOIN (SELECT wt.map, wt.mode, wt.hour, wt.entity, {", ".join(f"coalesce(c.z{i}, 0) AS z{i}" for i in z)} FROM wt LEFT JOIN zo c USING (map, mode, hour, entity)) zo USING (map, mode, hour, entity)
+  JOIN (SELECT DISTINCT wt.map, wt.mode, wt.entity, {", ".join(f"coalesce(c.z{i}, 0) AS z{i}" for i in z)} FROM wt LEFT JOIN zf c USING (map, mode, entity)) zf USING (map, mode, entity)
+  JOIN (SELECT users.entity, {", ".join(f"coalesce(c.z{i}, 0) AS z{i}" for i in z)} FROM users LEFT JOIN zr c USING (entity)) zr USING (entity)
+  JOIN eo USING (map, mode, hour, entity) JOIN ef USING (map, mode, entity) JOIN er ON er.hour = wt.hour AND er.entity = wt.entity GROUP BY ALL),
+ap AS (SELECT map, mode, round(sum(p * pr) / sum(p), 9) AS ap FROM (SELECT *, sum(p) OVER o / sum(n) OVER o AS pr FROM (SELECT map, mode, score, sum(active::INT) AS p, count(*) AS n FROM m GROUP BY ALL) WINDOW o AS (PARTITION BY map, mode ORDER BY score DESC)) GROUP BY ALL),
+mr AS (SELECT map, mode, round(avg(pl), 4) AS mean_rank FROM (SELECT *, rank() OVER (PARTITION BY map, mode, hour ORDER BY score DESC) + (count(*) OVER (PARTITION BY map, mode, hour, score) - 1) / 2 AS pl FROM m) WHERE active GROUP BY ALL),
+hs AS (SELECT map, mode, count(*) AS hours, count(*) FILTER (x) AS hours_active FROM (SELECT map, mode, hour, bool_or(active) AS x FROM m GROUP BY ALL) GROUP BY ALL)
+SELECT * FROM hs JOIN ap USING (map, mode) JOIN mr USING (map, mode) JOIN sums USING (map, mode)"""
 
 
 QUERIES = {
@@ -254,5 +294,5 @@ QUERIES = {
     footprint_keep: f"WITH {GRID}, {_FOOT.format(share=0.3)} SELECT hour, entity, 1.0::DOUBLE AS weight FROM gr, tg WHERE sm - nw < t AND place <= 400",
     footprint_recall: f"WITH {GRID}, {_FOOT.format(share=0.2)}, sel AS (SELECT hour, entity FROM gr, tg WHERE sm - nw < t AND place <= 400), {_COVER} {_RECALL}",
     jaccard_hourly: f"WITH {GRID}, {_BUDGET}, b AS (SELECT hour, entity, length, 1 AS now, 0 AS prev FROM sel JOIN lengths USING (entity) UNION ALL SELECT hour + INTERVAL 1 HOUR, entity, length, 0, 1 FROM sel JOIN lengths USING (entity)), e AS (SELECT hour, entity, any_value(length) AS length, max(now) AS now, max(prev) AS prev FROM b GROUP BY 1, 2), s AS (SELECT hour, sum(length * now * prev) AS i, sum(length) AS u FROM e GROUP BY hour) SELECT hours.hour, coalesce(round(i / u, 9), 1.0) AS jaccard FROM hours LEFT JOIN s USING (hour) WHERE hours.hour > (SELECT min(hour) FROM hours)",
-    comparison_table: f"WITH {GRID}, {_KERNEL} " + " UNION ALL ".join(_mode(n, m) for n in ("fine", "coarse") for m in ("raw", "smoothed")),
+    comparison_table: _compared(),
 }

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ripplegrid.functions.scalar import clip, sigmoid
 from ripplegrid.jobs.score_queries import GRID, Inputs
-from ripplegrid.operators import event_study, graph, grid, metrics, norm, plan, windows
+from ripplegrid.operators import event_study, graph, grid, metrics, norm, order_stats, plan, windows
 from ripplegrid.sources.tables import resume, table
 
 
@@ -326,7 +326,7 @@ def per_event_mean(spark, sf_dir):
 def scaled_colours(spark, sf_dir):
     """Values clipped to the 1 % and 99 % quantiles and scaled to 0 to 255, halves to even; sigmoid of the distance to the middle."""
     e = table(spark, sf_dir, "events")
-    q = e.agg(F.percentile("value", F.array(F.lit(0.01), F.lit(0.99))).alias("q")).first()["q"]
+    q = [order_stats.one_quantile(e, "value", p) for p in (0.01, 0.99)]
     share = (clip(F.col("value"), q[0], q[1]) - q[0]) / (q[1] - q[0])
     return e.select("event_id", F.floor(share * 255).cast("bigint").alias("colour"), F.round(sigmoid(share * 4 - 2), 9).alias("weight"))
 
@@ -386,7 +386,7 @@ QUERIES = {
     overlaid_defaults: "SELECT c_custkey, coalesce(m, 1.0) AS value FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS m FROM orders GROUP BY 1) ON o_custkey = c_custkey",
     zone_membership: f"WITH {_LINKS} SELECT link, coalesce(nullif(s.n_regionkey, 4), 2) = 2 AND coalesce(nullif(t.n_regionkey, 4), 2) = 2 AS inside FROM l JOIN nation s ON s.n_nationkey = a JOIN nation t ON t.n_nationkey = b",
     flow_metrics: "WITH x AS (SELECT l_returnflag, l_linestatus, l_extendedprice / l_quantity - 1500 AS t, l_extendedprice * (1 - l_discount) / l_quantity - 1450 AS g FROM lineitem) SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(abs(g - t)), 6) AS mae, round(sqrt(avg((g - t) * (g - t))), 6) AS rmse, round(avg(CASE WHEN abs(t) > 50 THEN (sign(t) = sign(g))::INT END), 9) AS sign_accuracy FROM x GROUP BY 1, 2",
-    slope_noise: f"WITH {_FEATURES}, x AS (SELECT value - 50 AS t, k / 2 - 10 AS g FROM f), q AS (SELECT quantile_cont(g, 0.99) FILTER (t <= 0) AS n FROM x) SELECT round(sum(g * t) / sum(t * t), 6) AS slope, round(any_value(n), 6) AS noise_p99, round(avg(CASE WHEN t > 0 THEN (g > n)::INT END), 9) AS above FROM x, q",
+    slope_noise: f"WITH {_FEATURES}, x AS (SELECT value - 50 AS t, k / 2 - 10 AS g FROM f), q AS (SELECT quantile_cont(g, 0.99) FILTER (t <= 0) AS n FROM x) SELECT round(sum(g * t) / sum(t * t), 6) AS slope, round(any_value(n), 6) AS noise_p99, round(avg(CASE WHEN t > 0 THEN (g > n)::INT END), 9) AS above, round(quantile_cont(g, 0.5) FILTER (t > 0), 6) AS median_guess, round(quantile_cont(t, 0.5) FILTER (t > 0), 6) AS median_truth FROM x, q",
     quantiles_exact: "SELECT event_type, " + ", ".join(f"round(quantile_cont(value - 10, {p}), 6) AS q{round(p * 100)}" for p in (0.0, 0.01, 0.5, 0.99, 1.0)) + ", round(avg((value - 10 < 0)::INT), 9) AS negative FROM events GROUP BY 1",
     crosstab: "SELECT year(o_orderdate)::INTEGER AS year, count(*) FILTER (o_orderstatus = 'F') AS \"n_F\", count(*) FILTER (o_orderstatus = 'O') AS \"n_O\", count(*) FILTER (o_orderstatus = 'P') AS \"n_P\", count(*) AS total FROM orders GROUP BY 1",
     binned_mean: "SELECT CASE WHEN l_quantity <= 4 THEN 1 WHEN l_quantity <= 7 THEN 2 WHEN l_quantity <= 10 THEN 3 WHEN l_quantity <= 15 THEN 4 ELSE 5 END AS bin, count(*) AS n, round(avg((l_returnflag = 'R')::INT), 9) AS share FROM lineitem WHERE l_quantity > 0 AND l_quantity <= 21 GROUP BY 1",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ripplegrid.sources.shared import removed, written
+
 
 def cut(links: DataFrame) -> DataFrame:
     """link, segment, a, b: every link as two halves that meet in a midpoint named after it."""
@@ -65,18 +67,49 @@ def union_edges(first: DataFrame, second: DataFrame) -> DataFrame:
 def distances(arcs: DataFrame, sources: DataFrame) -> DataFrame:
     """source, node, distance: shortest paths over arcs (src, dst, length >= 0) by rounds of relaxation until nothing changes.
 
-    Each round extends only what the round before has shortened, and its table is checkpointed to cut the lineage."""
+    Each round extends only what the round before has shortened, and its table is written to cut the lineage."""
     best = sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("distance"), F.lit(True).alias("new"))
+    earlier = None
     while True:
         longer = best.where("new").join(arcs, best["node"] == arcs["src"]).groupBy("source", F.col("dst").alias("node")).agg(F.min(F.col("distance") + F.col("length")).alias("found"))
         both = best.drop("new").join(longer, ["source", "node"], "full")
         shorter = F.col("distance").isNull() | (F.col("found") < F.col("distance"))
         best = both.select("source", "node", F.least("distance", "found").alias("distance"), F.coalesce(shorter, F.lit(False)).alias("new"))
-        best = best.checkpoint() if best.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else best.persist()
+        best = written(best, "path-round")
+        if earlier is not None:
+            removed(earlier)
+        earlier = best
         if not best.where("new").limit(1).count():
             return best.drop("new")
 
 
+def paths_within(links: DataFrame, reach: float) -> DataFrame:
+    """p, q, d: links (link, a, b, length >= 0) whose middles are at most ``reach`` apart along the network, each with itself (0).
+
+    A path is half of the first link, the links between and half of the last. From every link a frontier spreads over the nodes: a
+    round extends only what the round before has shortened and drops what is beyond reach, so the work follows the near
+    pairs and not the square of the network. Each round is written."""
+    ends = links.select("link", F.explode(F.array("a", "b")).alias("node"), (F.col("length") / 2).alias("half"))
+    arcs = links.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), "length"), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), "length"))).alias("x")).select("x.*")
+    known = written(ends.where(F.col("half") <= reach).groupBy(F.col("link").alias("p"), "node").agg(F.min("half").alias("d")), "path-known")
+    frontier = known
+    while True:
+        step = frontier.join(arcs, frontier["node"] == arcs["src"]).select("p", F.col("dst").alias("node"), (F.col("d") + F.col("length")).alias("d")).where(F.col("d") <= reach)
+        found = step.groupBy("p", "node").agg(F.min("d").alias("d"))
+        old = known.select("p", "node", F.col("d").alias("old"))
+        better = written(found.join(old, ["p", "node"], "left").where("old IS NULL OR d < old").select("p", "node", "d"), "path-frontier")
+        if not better.limit(1).count():
+            removed(better)
+            break
+        both = written(known.join(better.select("p", "node"), ["p", "node"], "left_anti").unionByName(better), "path-known")
+        removed(known)
+        if frontier is not known:
+            removed(frontier)
+        known, frontier = both, better
+    reached = known.join(ends, "node").where("p <> link").select("p", F.col("link").alias("q"), (F.col("d") + F.col("half")).alias("d")).where(F.col("d") <= reach)
+    return reached.groupBy("p", "q").agg(F.min("d").alias("d")).unionByName(links.select(F.col("link").alias("p"), F.col("link").alias("q"), F.lit(0.0).alias("d")))
+
+
 def standard_static(nodes: DataFrame, fields: list[str]) -> DataFrame:
     """nodes with the fields z-scored by population deviation (1 if it is tiny)."""
     stats = nodes.agg(*[x for f in fields for x in (F.avg(f).alias(f"{f}__c"), F.stddev_pop(f).alias(f"{f}__s"))]).first()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplegrid.functions.scalar import weighted_log_loss
+from ripplegrid.operators import order_stats
 
 
 def flow_errors(df: DataFrame, keys: list[str], truth: str, guess: str, threshold: float) -> DataFrame:
@@ -16,17 +17,27 @@ def flow_errors(df: DataFrame, keys: list[str], truth: str, guess: str, threshol
 
 
 def calibration(df: DataFrame, truth: str, guess: str) -> DataFrame:
-    """One row: slope through the origin of guess on truth, p99 of the guesses where truth <= 0, share of positives above it."""
-    slope = F.try_divide(F.sum(F.col(guess) * F.col(truth)), F.sum(F.col(truth) * F.col(truth)))
-    noise = df.agg(slope.alias("slope"), F.expr(f"percentile(CASE WHEN {truth} <= 0 THEN {guess} END, 0.99)").alias("noise")).first()
-    above = df.agg(F.avg(F.when(F.col(truth) > 0, (F.col(guess) > F.lit(noise["noise"])).cast("int"))).alias("above"))
-    return above.select(F.round(F.lit(noise["slope"]).cast("double"), 6).alias("slope"), F.round(F.lit(noise["noise"]).cast("double"), 6).alias("noise_p99"), F.round("above", 9).alias("above"))
+    """One row: slope through the origin of guess on truth, p99 of the guesses where truth <= 0, share of positives above it, and the
+    medians of the positives' guesses and truths; null where there is nothing to go by."""
+    slope = df.agg(F.try_divide(F.sum(F.col(guess) * F.col(truth)), F.sum(F.col(truth) * F.col(truth))).alias("slope")).first().slope
+    noise = order_stats.one_quantile(df.where(F.col(truth) <= 0), guess, 0.99)
+    positive = df.where(F.col(truth) > 0)
+    middle = {c: order_stats.one_quantile(positive, c, 0.5) for c in (guess, truth)}
+    above = positive.agg(F.avg((F.col(guess) > F.lit(noise)).cast("int")).alias("above"))
+    number = lambda x, digits: F.round(F.lit(x).cast("double"), digits)
+    return above.select(number(slope, 6).alias("slope"), number(noise, 6).alias("noise_p99"), F.round("above", 9).alias("above"), number(middle[guess], 6).alias("median_guess"), number(middle[truth], 6).alias("median_truth"))
 
 
 def quantiles(df: DataFrame, keys: list[str], column: str, at: tuple[float, ...] = (0.0, 0.01, 0.5, 0.99, 1.0)) -> DataFrame:
     """keys and q<percent>: exact quantiles with linear interpolation, and the share of negative values."""
-    made = [F.round(F.percentile(column, F.lit(p)), 6).alias(f"q{round(p * 100)}") for p in at]
-    return df.groupBy(*keys).agg(*made, F.round(F.avg((F.col(column) < 0).cast("int")), 9).alias("negative"))
+    found = order_stats.quantiles(df, keys, column, at)
+    wide = found.groupBy(*keys).agg(*[F.round(F.max(F.when(F.abs(F.col("q") - p) < 1e-12, F.col("x"))), 6).alias(f"q{round(p * 100)}") for p in at])
+    share = df.groupBy(*keys).agg(F.round(F.avg((F.col(column) < 0).cast("int")), 9).alias("negative"))
+    left, right = wide.alias("w"), share.alias("s")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"w.{k}").eqNullSafe(F.col(f"s.{k}"))
+    return left.join(right, same).select("w.*", "negative")
 
 
 def crosstab(df: DataFrame, row: str, column: str, values: list) -> DataFrame:

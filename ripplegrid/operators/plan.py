@@ -28,6 +28,36 @@ def overlaps(plan: DataFrame) -> DataFrame:
     return same.select("slot", pairs.cast("bigint").alias("pairs")).where("pairs > 0")
 
 
+def drawn(seed: str, *parts: Column | str) -> Column:
+    """A number from 0 below 2**32 that depends on the seed and the parts alone: the same in any engine (the first 8 hex digits of an md5)."""
+    text = F.concat_ws("|", F.lit(seed), *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+
+
+def assigned(episodes: DataFrame, shares: dict[str, int], slots: int, width: int, length: int, seed: str) -> DataFrame:
+    """id, variant, partition, slot, begin, finish: a period for every episode (id, variant, partition) such that periods of different partitions never overlap.
+
+    Time is cut into ``slots`` of ``width`` and every slot is drawn for one partition in proportion to the shares. An episode starts with a
+    slot of its partition: those of a variant take its slots one after the other from a drawn one on, so they differ while there are enough.
+    An episode is no longer than a slot, so it stays within it. A partition that drew no slot is an error."""
+    if length > width:
+        raise ValueError("an episode must fit into a slot")
+    spark, total, owner, least = episodes.sparkSession, sum(shares.values()), F.lit(None).cast("string"), 0
+    draw = F.pmod(drawn(seed, F.lit("slot"), "slot"), F.lit(total))
+    for name, share in reversed(list(shares.items())):
+        least = sum(list(shares.values())[: list(shares).index(name)])
+        owner = F.when((draw >= least) & (draw < least + share), F.lit(name)).otherwise(owner)
+    table = spark.range(slots).select(F.col("id").alias("slot")).withColumn("partition", owner)
+    own = Window.partitionBy("partition")
+    table = table.select("partition", "slot", (F.row_number().over(own.orderBy("slot")) - 1).alias("n"), F.count("*").over(own).alias("of"))  # as many rows as slots
+    counts = table.select("partition", "of").distinct()
+    turn = F.row_number().over(Window.partitionBy("partition", "variant").orderBy(drawn(seed, F.lit("episode"), "id"), "id")) - 1
+    placed = episodes.select("id", "variant", "partition", turn.alias("turn")).join(F.broadcast(counts), "partition", "left")
+    sure = F.when(F.col("of").isNull(), F.raise_error(F.concat(F.lit("no slot for "), F.col("partition")))).otherwise(F.pmod(drawn(seed, F.lit("variant"), "variant") + F.col("turn"), F.col("of")))
+    found = placed.withColumn("n", sure).drop("of").join(table.select("partition", "n", "slot"), ["partition", "n"])
+    return found.select("id", "variant", "partition", "slot", (F.col("slot") * width).alias("begin"), (F.col("slot") * width + length).alias("finish"))
+
+
 def contract(plan: DataFrame, variant: str, partition: str) -> DataFrame:
     """variant, partitions of the variants that lie in more than one partition."""
     return plan.groupBy(variant).agg(F.count_distinct(partition).alias("partitions")).where("partitions > 1")

@@ -55,20 +55,28 @@ def fractional_recall(scores: DataFrame, k: int) -> DataFrame:
 
 
 def average_precision(pairs: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """One row: ap, positives, n over all rows; null ap if nothing is positive. Ties are one step of the curve.
+    """One row: ap, positives, n over all rows; null ap if nothing is positive. Ties are one step of the curve."""
+    return _curve(pairs, [], score, label)
 
-    Rows are summed by distinct score before they are ordered, in parts of the score's range so that no task holds all."""
-    by = pairs.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("bigint")).alias("p"), F.count("*").alias("n"))
+
+def average_precision_by(pairs: DataFrame, keys: list[str], score: str = "score", label: str = "label") -> DataFrame:
+    """keys, ap, positives, n: the same for each key."""
+    return _curve(pairs, keys, score, label)
+
+
+def _curve(pairs: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
+    """Rows are summed by distinct score before they are ordered, in parts of the score's range so that no task holds all."""
+    by = pairs.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("s")).agg(F.sum(F.col(label).cast("bigint")).alias("p"), F.count("*").alias("n"))
     quantiles = by.approxQuantile("s", [i / 32 for i in range(1, 32)], 0.01)
     part = F.size(F.filter(F.lit(sorted(set(quantiles)) or [0.0]), lambda q: q > F.col("s")))  # 0: the highest scores
     by = by.withColumn("part", part)
-    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = by.groupBy("part").agg(F.sum("p").alias("pp"), F.sum("n").alias("nn"))  # 32 rows at most
-    parts = parts.select("part", F.coalesce(F.sum("pp").over(before), F.lit(0)).alias("p0"), F.coalesce(F.sum("nn").over(before), F.lit(0)).alias("n0"))
-    order = Window.partitionBy("part").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    curve = by.join(F.broadcast(parts), "part").select("p", "n", ((F.sum("p").over(order) + F.col("p0")) / (F.sum("n").over(order) + F.col("n0"))).alias("precision"))
+    before = Window.partitionBy(*keys or [F.lit(0)]).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = by.groupBy(*keys, "part").agg(F.sum("p").alias("pp"), F.sum("n").alias("nn"))  # 32 rows a key at most
+    parts = parts.select(*keys, "part", F.coalesce(F.sum("pp").over(before), F.lit(0)).alias("p0"), F.coalesce(F.sum("nn").over(before), F.lit(0)).alias("n0"))
+    order = Window.partitionBy(*keys, "part").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
+    curve = by.join(parts, [*keys, "part"]).select(*keys, "p", "n", ((F.sum("p").over(order) + F.col("p0")) / (F.sum("n").over(order) + F.col("n0"))).alias("precision"))
     total = F.sum("p")
-    return curve.agg(F.round(F.try_divide(F.sum(F.col("p") * F.col("precision")), total), 9).alias("ap"), F.coalesce(total, F.lit(0)).alias("positives"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return curve.groupBy(*keys).agg(F.round(F.try_divide(F.sum(F.col("p") * F.col("precision")), total), 9).alias("ap"), F.coalesce(total, F.lit(0)).alias("positives"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
 def confusion(scores: DataFrame, threshold: float) -> DataFrame:

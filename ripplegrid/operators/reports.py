@@ -44,3 +44,14 @@ def flattened(report: DataFrame, column: str, levels: list[str], value: str = "v
 def preferred(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Of the rows of each key the first by a composite order (false before true)."""
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__n = 1").drop("__n")
+
+
+def criterion(tables: dict[str, DataFrame], rows: list[tuple[str, str, str]], columns: dict[str, str], digits: int) -> DataFrame:
+    """label and the columns (new name: name in the tables), rounded, of the rows (label, table, map) that a criterion names; a map that a table lacks is an error."""
+    out = None
+    for label, name, map_ in rows:
+        one = tables[name].where(F.col("map") == map_).select(F.lit(label).alias("label"), *[F.round(c, digits).alias(n) for n, c in columns.items()])
+        if not one.limit(1).count():
+            raise KeyError(f"no {map_} in {name}")
+        out = one if out is None else out.unionByName(one)
+    return out

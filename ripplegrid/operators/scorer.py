@@ -31,6 +31,20 @@ class CausalNet:
         layers = [(rng.normal(0, 1 / np.sqrt(TAPS * a), (TAPS, a, b)), np.zeros(b)) for a, b in zip(sizes[:-1], sizes[1:], strict=True)]
         return CausalNet(layers, (rng.normal(0, 1 / np.sqrt(width), width), 0.0))
 
+    def to_dict(self) -> dict:
+        """The weights as lists, for a file."""
+        return {"layers": [{"weight": w.tolist(), "bias": b.tolist()} for w, b in self.layers], "head": {"weight": self.head[0].tolist(), "bias": float(self.head[1])}}
+
+    @staticmethod
+    def from_dict(weights: dict) -> CausalNet:
+        """The network of weights that to_dict() gave; layers that do not fit one another are an error."""
+        layers = [(np.array(x["weight"], dtype=float), np.array(x["bias"], dtype=float)) for x in weights["layers"]]
+        head = (np.array(weights["head"]["weight"], dtype=float), float(weights["head"]["bias"]))
+        sizes = [w.shape for w, _ in layers]
+        if len(layers) != len(DILATIONS) or any(len(s) != 3 or s[0] != TAPS for s in sizes) or any(a[2] != b[1] for a, b in zip(sizes[:-1], sizes[1:], strict=True)) or head[0].shape != (sizes[-1][2],):
+            raise ValueError(f"weights of other shapes: {sizes}")
+        return CausalNet(layers, head)
+
     def __call__(self, x: np.ndarray) -> np.ndarray:
         for (weight, bias), gap in zip(self.layers, DILATIONS, strict=True):
             padded = np.pad(x, ((0, 0), (gap * (TAPS - 1), 0), (0, 0)))

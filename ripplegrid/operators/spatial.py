@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ripplegrid.functions.scalar import decay
 from ripplegrid.operators.rank import ordered
@@ -21,15 +26,67 @@ def smooth(scores: DataFrame, weights: DataFrame) -> DataFrame:
     return x.groupBy("hour", F.col("p").alias("entity")).agg(F.round(F.sum(F.col("weight") * F.col("score")), 6).alias("score"))
 
 
-def within_budget(scores: DataFrame, lengths: DataFrame, share: float) -> DataFrame:
-    """hour, entity, place of what a budget of ``share`` of the total length buys: by falling score, what no longer fits is skipped.
+def _bought(budgets: list[float]):
+    """Rows (hour, entity, place, length) in order of hour and place to those that each budget buys, with the budget's number; only what is left of the budgets is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = list(budgets)
+        for batch in batches:
+            place, length = batch["place"].to_numpy(), batch["length"].to_numpy()
+            starts = np.flatnonzero(place == 1)
+            for number, budget in enumerate(budgets):
+                taken = [np.zeros(0, dtype=np.int64)]
+                for begin, end in zip([0, *starts.tolist()], [*starts.tolist(), len(place)], strict=True):
+                    if begin < end:
+                        got, left[number] = _fold(length[begin:end], budget if place[begin] == 1 else left[number])
+                        taken.append(got + begin)
+                kept = batch.take(pa.array(np.concatenate(taken)))
+                yield pa.RecordBatch.from_arrays([kept["hour"], kept["entity"], kept["place"], pa.array(np.full(kept.num_rows, number, dtype=np.int32))], names=["hour", "entity", "place", "budget"])
+
+    return run
+
+
+def _fold(length: np.ndarray, left: float) -> tuple[np.ndarray, float]:
+    """Which items fit one after the other, and what is left. Runs that fit are taken at once; what does not fit once never will."""
+    taken, rest = [], np.arange(len(length))
+    while len(rest := rest[length[rest] <= left]):
+        after = np.subtract.accumulate(np.concatenate(([left], length[rest])))
+        short = length[rest] > after[:-1]
+        n = int(short.argmax()) if short.any() else len(rest)
+        taken.append(rest[:n])
+        left, rest = float(after[n]), rest[n:]
+    return (np.concatenate(taken) if taken else rest), left
 
-    Order matters, so each hour is one fold over its entities in order; an hour holds one row an entity."""
+
+def within_budgets(scores: DataFrame, lengths: DataFrame, shares: tuple[float, ...]) -> DataFrame:
+    """hour, entity, place, budget (its number) of what budgets of such shares of the total length buy: by falling score, what no longer fits is skipped.
+
+    Order matters, so an hour's rows go through one fold a budget: they come sorted out of a window and stream through it; nothing is
+    gathered but what is left of the budgets."""
     total = lengths.agg(F.sum("length")).first()[0] or 0.0
-    items = ordered(scores).join(lengths, "entity").groupBy("hour").agg(F.array_sort(F.collect_list(F.struct("place", "entity", F.col("length").cast("double").alias("length")))).alias("items"))
-    empty = F.struct(F.lit(share * total).cast("double").alias("left"), F.array().cast("array<struct<place:int,entity:bigint>>").alias("got"))
-    taken = F.aggregate("items", empty, lambda a, x: F.when(x["length"] <= a["left"] + 1e-9, F.struct((a["left"] - x["length"]).alias("left"), F.array_append(a["got"], F.struct(x["place"].alias("place"), x["entity"].alias("entity"))).alias("got"))).otherwise(a))
-    return items.select("hour", F.explode(taken["got"]).alias("x")).select("hour", "x.entity", "x.place")
+    items = ordered(scores.select("hour", "entity", "score").join(lengths.select("entity", F.col("length").cast("double").alias("length")), "entity")).select("hour", "entity", "place", "length")
+    schema = T.StructType([*[f for f in items.schema.fields if f.name != "length"], T.StructField("budget", T.IntegerType())])
+    return items.mapInArrow(_bought([float(s * total) for s in shares]), schema)
+
+
+def within_budget(scores: DataFrame, lengths: DataFrame, share: float) -> DataFrame:
+    """hour, entity, place of what one budget buys."""
+    return within_budgets(scores, lengths, (share,)).drop("budget")
+
+
+def near_pairs(points: DataFrame, reach: float) -> DataFrame:
+    """p, q, d of all points (entity, x, y) within reach of each other on the plane, each with itself; points without a place have none.
+
+    The plane is a grid of cells of the reach. A point stays in its cell and is sent to the nine around it, so near points
+    meet by equality of cells and the work follows the points around each point."""
+    side = reach * (1 + 1e-9)  # rounding never parts near points by two cells
+    cells = [F.floor(F.col(c) / side).alias(f"c{c}") for c in ("x", "y")]
+    placed = points.where("x IS NOT NULL AND y IS NOT NULL").select("entity", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    home = placed.select(F.col("entity").alias("q"), F.col("x").alias("xq"), F.col("y").alias("yq"), *cells)
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    sent = placed.select(F.col("entity").alias("p"), "x", "y", *cells, F.explode(around).alias("o")).select("p", "x", "y", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
+    apart = F.sqrt((F.col("x") - F.col("xq")) * (F.col("x") - F.col("xq")) + (F.col("y") - F.col("yq")) * (F.col("y") - F.col("yq")))
+    return sent.join(home, ["cx", "cy"]).select("p", "q", apart.alias("d")).where(F.col("d") <= reach)
 
 
 def covered(selected: DataFrame, near: DataFrame) -> DataFrame:

@@ -56,6 +56,35 @@ def active_in(pieces_: DataFrame, intervals: DataFrame, episode: str) -> DataFra
     return joined
 
 
+def concatenated(runs: DataFrame, episode: str, end: int) -> DataFrame:
+    """runs (episode, begin, finish, local, ...) with ``step``: the pieces of an episode put one behind the other as a single run.
+
+    A piece has the steps 0 to finish - begin, and its last is the first of the next piece: it goes, but for the piece that ends at ``end``. A piece
+    starts behind all that is kept of the pieces before it."""
+    kept = F.col("finish") - F.col("begin") + (F.col("finish") == end).cast("int")
+    pieces_ = runs.select(episode, "begin", "finish").distinct().withColumn("__kept", kept)
+    before = Window.partitionBy(episode).orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = pieces_.select(episode, "begin", "__kept", F.coalesce(F.sum("__kept").over(before), F.lit(0)).alias("__offset"))
+    return runs.join(offsets, [episode, "begin"]).where(F.col("local") < F.col("__kept")).withColumn("step", (F.col("__offset") + F.col("local")).cast("bigint")).drop("__kept", "__offset")
+
+
 def rotated(df: DataFrame, partition: list[str], order: list[Column], n: int = 3) -> DataFrame:
     """df with category 0 to n - 1 in turn."""
     return df.withColumn("category", F.pmod(F.row_number().over(Window.partitionBy(*partition).orderBy(*order)) - 1, F.lit(n)))
+
+
+def by_day(rows: DataFrame, entity: str, fields: list[str], first: str, last: str, per_day: int, width: int = 12) -> DataFrame:
+    """day, entity, step and each field as a window of ``width`` steps up to it, for the days from first to last of rows (day, entity, step from 0, fields).
+
+    A day's windows reach into the day before by width - 1 steps: only those are sent over, and only the days that are asked for
+    and the one before are read. Windows are cut by day and entity, so days are independent of one another; steps without a full window have none."""
+    if width - 1 > per_day:
+        raise ValueError("a window must not reach beyond the day before")
+    days = F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date"))
+    earlier = F.col("day").between(F.date_sub(F.lit(first).cast("date"), 1), F.date_sub(F.lit(last).cast("date"), 1))
+    columns = ["day", entity, "step", *fields]
+    own = rows.where(days).select(*columns)
+    halo = rows.where(earlier & (F.col("step") > per_day - width)).select(F.date_add("day", 1).alias("day"), entity, (F.col("step") - per_day).alias("step"), *fields)
+    w = Window.partitionBy("day", entity).orderBy("step").rowsBetween(1 - width, 0)
+    out = own.unionByName(halo).select("day", entity, "step", *[F.collect_list(f).over(w).alias(f) for f in fields], F.min("step").over(w).alias("__from"))
+    return out.where((F.col("step") >= 0) & (F.col("__from") == F.col("step") - (width - 1))).drop("__from")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ripplegrid.schema import TABLES
 
@@ -13,9 +14,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def days(spark: SparkSession, path: str) -> DataFrame:
+def days(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A table partitioned by day: filters on ``day`` skip whole folders."""
-    return spark.read.parquet(path)
+    return (spark.read.schema(schema) if schema else spark.read).parquet(path)
 
 
 def discovered(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
@@ -48,6 +49,11 @@ def write_table(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("errorifexists").option("header", True).csv(path)
 
 
+def read_table(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """What write_table() has written, with its declared schema; a line that does not fit it, or another header, is an error."""
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
+
+
 def resume(planned: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """What is planned and not done yet."""
     return planned.join(done.select(*keys).distinct(), keys, "left_anti")
