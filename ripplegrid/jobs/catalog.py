@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ripplegrid.jobs import network_queries, report_queries, score_queries, source_queries, table_queries
+from ripplegrid.jobs import network_queries, report_queries, score_queries, source_queries, study_queries, table_queries
 
-_ALL = {**score_queries.QUERIES, **table_queries.QUERIES, **report_queries.QUERIES, **network_queries.QUERIES, **source_queries.QUERIES}
+_ALL = {**score_queries.QUERIES, **table_queries.QUERIES, **report_queries.QUERIES, **network_queries.QUERIES, **source_queries.QUERIES, **study_queries.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -395,7 +395,7 @@ QUERIES = {
     checkpoint_pick: "WITH h AS (SELECT o_orderpriority AS run, year(o_orderdate)::INTEGER AS step, round(avg(o_totalprice) / 10000) AS metric, round(stddev_pop(o_totalprice), 4) AS loss FROM orders GROUP BY 1, 2) SELECT run, arg_max(step, (metric, -step)) AS best, arg_min(step, (loss, step)) AS lowest_loss FROM h GROUP BY 1",
     median_pick: "SELECT s_nationkey, s_suppkey, s_acctbal FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS r, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier) WHERE r = n // 2 + 1",
     log_odds_loss: "WITH x AS (SELECT event_type, (value - 50) / 20 AS z, (event_type = 'error')::INT AS y FROM events) SELECT event_type, round(avg((1 - y) * z + (1 + 3 * y) * (ln(1 + exp(-abs(z))) + greatest(-z, 0))), 6) AS loss FROM x GROUP BY 1",
-    conservation_scale: "SELECT round(avg(r), 6) AS scale, round(sqrt(sum(s) / sum(n)), 6) AS pooled FROM (SELECT user_id, sqrt(avg(value * value)) AS r, sum(value * value) AS s, count(value) AS n FROM events GROUP BY 1)",
+    conservation_scale: "SELECT round(greatest(sqrt(avg(r)), 1e-6), 6) AS scale, round(sqrt(sum(s) / sum(n)), 6) AS pooled FROM (SELECT user_id, avg(value * value) AS r, sum(value * value) AS s, count(value) AS n FROM events GROUP BY 1)",
     per_event_mean: "SELECT count(*) AS n, round(avg(m), 9) AS mean FROM (SELECT user_id, avg(value) AS m FROM events GROUP BY 1)",
     scaled_colours: "WITH q AS (SELECT quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM events), s AS (SELECT event_id, (greatest(least(value, hi), lo) - lo) / (hi - lo) AS x FROM events, q) SELECT event_id, floor(x * 255)::BIGINT AS colour, round(1 / (1 + exp(-(x * 4 - 2))), 9) AS weight FROM s",
     episode_audit: "SELECT 'price' AS rule, count(*) FILTER (NOT o_totalprice > 2000) AS violations FROM orders UNION ALL SELECT 'date', count(*) FILTER (o_orderdate < TIMESTAMP '1995-02-01') FROM orders UNION ALL SELECT 'status', count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) FROM orders UNION ALL SELECT 'orphan', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)",

@@ -85,10 +85,10 @@ def log_loss(df: DataFrame, z: Column, y: Column, positive: float, keys: list[st
 
 
 def mean_of_means(df: DataFrame, episode: str, value: str) -> DataFrame:
-    """One row: scale, the root mean square by episode averaged over episodes (not pooled), and the pooled one."""
+    """One row: scale, the root of the mean over episodes of their mean squares (each episode counts the same), and the pooled root mean square."""
     x = F.col(value) * F.col(value)
-    each = df.groupBy(episode).agg(F.sqrt(F.avg(x)).alias("r"), F.sum(x).alias("s"), F.count(value).alias("n"))
-    return each.agg(F.round(F.avg("r"), 6).alias("scale"), F.round(F.sqrt(F.sum("s") / F.sum("n")), 6).alias("pooled"))
+    each = df.groupBy(episode).agg(F.avg(x).alias("m"), F.sum(x).alias("s"), F.count(value).alias("n"))
+    return each.agg(F.round(F.greatest(F.sqrt(F.avg("m")), F.lit(1e-6)), 6).alias("scale"), F.round(F.sqrt(F.sum("s") / F.sum("n")), 6).alias("pooled"))
 
 
 def per_event(df: DataFrame, event: str, value: str) -> DataFrame:
@@ -96,13 +96,6 @@ def per_event(df: DataFrame, event: str, value: str) -> DataFrame:
     return df.groupBy(event).agg(F.avg(value).alias("m")).agg(F.count("*").alias("n"), F.round(F.avg("m"), 9).alias("mean"))
 
 
-def conservation_loss(balances: DataFrame, losses: DataFrame, at_nodes: float, at_links: float) -> DataFrame:
-    """One row: the mean squared balance of the nodes and the mean squared loss of the links, each in its own scale."""
-    nodes = balances.agg(F.avg(F.pow(F.col("balance") / at_nodes, 2)).alias("x"))
-    links = losses.agg(F.avg(F.pow(F.col("loss") / at_links, 2)).alias("y"))
-    return nodes.crossJoin(F.broadcast(links)).select(F.round(F.col("x") + F.col("y"), 6).alias("loss"))  # one row each
-
-
 def errors(rows: DataFrame, truth: str, guess: str) -> DataFrame:
     """One row: mae, rmse, n."""
     gap = F.col(guess) - F.col(truth)

@@ -64,3 +64,18 @@ def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """rule, violations: how many rows break each rule (a rule that is null is broken)."""
     one = df.agg(*[F.count_if(~F.coalesce(r, F.lit(False))).alias(name) for name, r in rules.items()])
     return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("violations")) for n in rules])).alias("r")).select("r.*")
+
+
+def pairwise_violations(pairs: DataFrame, entities: DataFrame) -> DataFrame:
+    """rule, violations of pairs (p, q, d): symmetry (the pair the other way round is there with the same distance), diagonal (every entity is with itself, at 0),
+    distance (not negative, a number), unknown (both are entities)."""
+    back = pairs.select(F.col("q").alias("p"), F.col("p").alias("q"), F.col("d").alias("other"))
+    alone = pairs.join(back, ["p", "q"], "left").where(~F.coalesce(F.abs(F.col("d") - F.col("other")) <= 1e-9 * (1 + F.abs("d")), F.lit(False)))
+    own = entities.select(F.col("entity").alias("p")).join(pairs.where("p = q AND d = 0").select("p"), "p", "left_anti")
+    odd = pairs.where(~F.coalesce((F.col("d") >= 0) & ~F.isnan("d"), F.lit(False)))
+    ends = pairs.select(F.explode(F.array("p", "q")).alias("entity")).join(entities.select("entity"), "entity", "left_anti")
+    out = None
+    for rule, rows in (("symmetry", alone), ("diagonal", own), ("distance", odd), ("unknown", ends)):
+        one = rows.agg(F.count("*").alias("violations")).select(F.lit(rule).alias("rule"), "violations")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -5,14 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ripplegrid.operators import spatial
 
-def zone_summary(selected: DataFrame, covered: DataFrame, lengths: DataFrame) -> DataFrame:
-    """One row: hours, mean, least and most selected length, and the mean share of all length that is covered."""
+
+def zone_summary(scores: DataFrame, selected: DataFrame, covered: DataFrame, lengths: DataFrame) -> DataFrame:
+    """One row over the hours of scores: hours, hours_active, the mean recall of the hours with active entities, the mean, least and most
+    selected length, the mean, least and most share of all length that is covered, and the mean likeness of the selections of consecutive hours and how
+    many pairs of such hours there are. An hour that selects nothing counts with length 0 and nothing covered."""
+    hours = scores.groupBy("hour").agg(F.max("active").alias("any"))
     chosen = selected.join(lengths, "entity").groupBy("hour").agg(F.sum("length").alias("x"))
     total = lengths.agg(F.sum("length").alias("total"))  # one row
     near = covered.join(lengths, "entity").groupBy("hour").agg(F.sum("length").alias("y"))
-    both = chosen.join(near, "hour").crossJoin(F.broadcast(total))
-    return both.agg(F.count("*").alias("hours"), F.round(F.avg("x"), 6).alias("mean_length"), F.min("x").alias("least_length"), F.max("x").alias("most_length"), F.round(F.avg(F.col("y") / F.col("total")), 6).alias("covered"))
+    share = F.coalesce("y", F.lit(0.0)) / F.col("total")
+    each = hours.join(chosen, "hour", "left").join(near, "hour", "left").crossJoin(F.broadcast(total)).select("hour", "any", F.coalesce("x", F.lit(0.0)).alias("x"), share.alias("y"))
+    found = spatial.recall(scores, covered).select("hour", "recall")
+    alike = spatial.stability(selected, lengths, hours)
+    one = each.join(found, "hour", "left").join(alike, "hour", "left")
+    return one.agg(
+        F.count("*").alias("hours"), F.count_if("any").alias("hours_active"), F.round(F.avg("recall"), 6).alias("recall"),
+        F.round(F.avg("x"), 6).alias("mean_length"), F.min("x").alias("least_length"), F.max("x").alias("most_length"),
+        F.round(F.avg("y"), 6).alias("covered"), F.round(F.min("y"), 6).alias("least_covered"), F.round(F.max("y"), 6).alias("most_covered"),
+        F.round(F.avg("jaccard"), 6).alias("jaccard"), F.count("jaccard").alias("pairs"),
+    )
 
 
 def _met(scores: DataFrame, covered: DataFrame) -> DataFrame:
@@ -26,9 +40,9 @@ def entity_recall(scores: DataFrame, covered: DataFrame) -> DataFrame:
 
 
 def event_recall(scores: DataFrame, covered: DataFrame) -> DataFrame:
-    """One row: events, and the mean over events (an entity's active hours of a day) of the share of covered hours."""
-    by = _met(scores, covered).groupBy("entity", F.date_trunc("day", "hour").alias("day")).agg(F.avg("met").alias("r"))
-    return by.agg(F.count("*").alias("events"), F.round(F.avg("r"), 9).alias("recall"))
+    """One row: entities, and the mean over them of the share of their active hours in which they are covered."""
+    by = _met(scores, covered).groupBy("entity").agg(F.avg("met").alias("r"))
+    return by.agg(F.count("*").alias("entities"), F.round(F.avg("r"), 9).alias("recall"))
 
 
 def flattened(report: DataFrame, column: str, levels: list[str], value: str = "value") -> DataFrame:

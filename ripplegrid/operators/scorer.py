@@ -10,7 +10,8 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DILATIONS = (1, 2, 4)
@@ -81,3 +82,16 @@ def chained(pieces: DataFrame, episode: str, order: str, inflow: str, outflow: s
 
     schema = T.StructType([*pieces.select(episode, order).schema.fields, T.StructField("level", T.DoubleType())])
     return pieces.groupBy(episode).applyInPandas(walk, schema)
+
+
+def denormalised(rows: DataFrame, columns: list[str], scale: float, reference: list[str] | None = None) -> DataFrame:
+    """rows with the columns back in units: times the scale, and on top of the reference where the network predicts changes against it."""
+    return rows.withColumns({c: F.col(c) * scale + (F.col(reference[i]) if reference else F.lit(0.0)) for i, c in enumerate(columns)})
+
+
+def at_step(rows: DataFrame, episode: str, step: str, n: int) -> DataFrame:
+    """The rows of one step of every episode: the n-th of its distinct steps from 0, or from the end if n is negative; an episode without it has none."""
+    steps = rows.select(episode, step).distinct()
+    order = F.col(step) if n >= 0 else F.desc(step)
+    place = F.row_number().over(Window.partitionBy(episode).orderBy(order)) - 1
+    return rows.join(steps.withColumn("__n", place).where(F.col("__n") == (n if n >= 0 else -n - 1)).drop("__n"), [episode, step], "left_semi")
