@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplegrid.operators import compare, grid, rank, spatial
+from ripplegrid.sources.shared import written
 from ripplegrid.sources.tables import table
 
 GRID = """
@@ -187,13 +188,12 @@ def jaccard_hourly(spark, sf_dir):
 def comparison_table(spark, sf_dir):
     """The metrics of two maps (fine and coarse scores), as they are and smoothed, and of their controls; every third entity lies in the zone."""
     x = Inputs(spark, sf_dir)
-    near, weights, maps = x.near, spatial.kernel(x.near, x.lengths), None
-    for name, scores in (("fine", x.scores), ("coarse", x.coarse())):
-        smooth = spatial.smooth(scores, weights).withColumn("score", F.round("score", 3)).join(scores.select("hour", "entity", "active"), ["hour", "entity"])
-        for mode, s in (("raw", scores), ("smoothed", smooth)):
-            one = s.select(F.lit(name).alias("map"), F.lit(mode).alias("mode"), "hour", "entity", "score", "active")
-            maps = one if maps is None else maps.unionByName(one)
-    return compare.comparison(maps, near, x.lengths, x.users.where("entity % 3 <> 0"))
+    both = written(x.scores.select("hour", "entity", "active", F.col("score").alias("fine"), F.floor(F.col("score") / 40).cast("double").alias("coarse")), "scores")
+    around = both.select("hour", F.col("entity").alias("q"), "fine", "coarse").join(spatial.kernel(x.near, x.lengths), "q").groupBy("hour", F.col("p").alias("entity"))
+    smooth = around.agg(*[F.round(F.round(F.sum(F.col("weight") * F.col(c)), 6), 3).alias(f"{c}_smooth") for c in ("fine", "coarse")])
+    each = [F.struct(F.lit(m).alias("map"), F.lit(mode).alias("mode"), F.col(c).alias("score")) for m in ("fine", "coarse") for mode, c in (("raw", m), ("smoothed", f"{m}_smooth"))]
+    maps = both.join(smooth, ["hour", "entity"]).select("hour", "entity", "active", F.explode(F.array(*each)).alias("m")).select("m.map", "m.mode", "hour", "entity", "m.score", "active")
+    return compare.comparison(maps, x.near, x.lengths, x.users.where("entity % 3 <> 0"))
 
 
 _BUDGET = """
@@ -240,7 +240,7 @@ a AS MATERIALIZED (SELECT map, mode, hour, entity, (entity % 3 <> 0)::INT AS o F
 ah AS (SELECT map, mode, hour, count(*) AS n, sum(o) AS no FROM a GROUP BY ALL), ae AS (SELECT map, mode, entity, count(*) AS np FROM a GROUP BY ALL),
 am AS (SELECT map, mode, count(*) AS hs, count(*) FILTER (no > 0) AS ho FROM ah GROUP BY ALL), an AS (SELECT map, mode, count(*) AS en FROM ae GROUP BY ALL),
 wt AS MATERIALIZED (SELECT a.*, 1.0::DOUBLE / n / hs AS w, 1.0::DOUBLE / np / en AS wp, CASE WHEN o = 1 THEN 1.0::DOUBLE / no / ho ELSE 0 END AS wo FROM a JOIN ah USING (map, mode, hour) JOIN ae USING (map, mode, entity) JOIN am USING (map, mode) JOIN an USING (map, mode)),
-f AS (SELECT map, mode, entity, round(avg(score), 6) AS score FROM (SELECT *, dense_rank() OVER (PARTITION BY map, mode, entity ORDER BY hour) AS n FROM m) WHERE n <= 24 GROUP BY ALL),
+f AS (SELECT map, mode, entity, round(avg(score), 6) AS score FROM (SELECT *, dense_rank() OVER (PARTITION BY map, mode ORDER BY hour) AS n FROM m) WHERE n <= 24 GROUP BY ALL),
 x AS MATERIALIZED (SELECT 'own' AS kind, map, mode, hour, entity, score FROM m UNION ALL SELECT 'frozen', map, mode, TIMESTAMP '1970-01-01', entity, score FROM f
   UNION ALL SELECT 'draw', d::VARCHAR, '', TIMESTAMP '1970-01-01', entity, {drawn.format("'draw|' || d || '|' || entity")} FROM users, range(16) t(d)
   UNION ALL SELECT 'random', '', '', hour, entity, {drawn.format("'hour|' || strftime(hour, '%Y%m%d%H') || '|' || entity")} FROM g),

@@ -26,22 +26,21 @@ def smooth(scores: DataFrame, weights: DataFrame) -> DataFrame:
     return x.groupBy("hour", F.col("p").alias("entity")).agg(F.round(F.sum(F.col("weight") * F.col("score")), 6).alias("score"))
 
 
-def _bought(budgets: list[float]):
-    """Rows (hour, entity, place, length) in order of hour and place to those that each budget buys, with the budget's number; only what is left of the budgets is held."""
+def _marked(budgets: list[float], names: list[str]):
+    """Rows in order of hour and place, with a flag for each budget that buys them; only what is left of the budgets is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = list(budgets)
         for batch in batches:
             place, length = batch["place"].to_numpy(), batch["length"].to_numpy()
-            starts = np.flatnonzero(place == 1)
+            starts = np.flatnonzero(place == 1).tolist()
+            flags = np.zeros((len(budgets), len(place)), dtype=bool)
             for number, budget in enumerate(budgets):
-                taken = [np.zeros(0, dtype=np.int64)]
-                for begin, end in zip([0, *starts.tolist()], [*starts.tolist(), len(place)], strict=True):
+                for begin, end in zip([0, *starts], [*starts, len(place)], strict=True):
                     if begin < end:
                         got, left[number] = _fold(length[begin:end], budget if place[begin] == 1 else left[number])
-                        taken.append(got + begin)
-                kept = batch.take(pa.array(np.concatenate(taken)))
-                yield pa.RecordBatch.from_arrays([kept["hour"], kept["entity"], kept["place"], pa.array(np.full(kept.num_rows, number, dtype=np.int32))], names=["hour", "entity", "place", "budget"])
+                        flags[number, got + begin] = True
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, flags)], names=[*batch.schema.names, *names])
 
     return run
 
@@ -58,15 +57,23 @@ def _fold(length: np.ndarray, left: float) -> tuple[np.ndarray, float]:
     return (np.concatenate(taken) if taken else rest), left
 
 
-def within_budgets(scores: DataFrame, lengths: DataFrame, shares: tuple[float, ...]) -> DataFrame:
-    """hour, entity, place, budget (its number) of what budgets of such shares of the total length buy: by falling score, what no longer fits is skipped.
+def marked_budgets(placed: DataFrame, total: float, shares: tuple[float, ...]) -> DataFrame:
+    """placed (hour, place, length, ...) as ``ordered`` gives it with budget0, budget1, ...: whether a budget of that share of the total buys the row; what
+    no longer fits is skipped.
 
     Order matters, so an hour's rows go through one fold a budget: they come sorted out of a window and stream through it; nothing is
     gathered but what is left of the budgets."""
+    names = [f"budget{i}" for i in range(len(shares))]
+    schema = T.StructType([*placed.schema.fields, *[T.StructField(n, T.BooleanType()) for n in names]])
+    return placed.mapInArrow(_marked([float(s * total) for s in shares], names), schema)
+
+
+def within_budgets(scores: DataFrame, lengths: DataFrame, shares: tuple[float, ...]) -> DataFrame:
+    """hour, entity, place, budget (its number) of what budgets of such shares of the total length buy, by falling score."""
     total = lengths.agg(F.sum("length")).first()[0] or 0.0
     items = ordered(scores.select("hour", "entity", "score").join(lengths.select("entity", F.col("length").cast("double").alias("length")), "entity")).select("hour", "entity", "place", "length")
-    schema = T.StructType([*[f for f in items.schema.fields if f.name != "length"], T.StructField("budget", T.IntegerType())])
-    return items.mapInArrow(_bought([float(s * total) for s in shares]), schema)
+    flags = F.filter(F.array(*[F.when(F.col(f"budget{i}"), F.lit(i)) for i in range(len(shares))]), lambda x: x.isNotNull())
+    return marked_budgets(items, total, shares).select("hour", "entity", "place", F.explode(flags).alias("budget"))
 
 
 def within_budget(scores: DataFrame, lengths: DataFrame, share: float) -> DataFrame:

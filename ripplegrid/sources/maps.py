@@ -19,7 +19,7 @@ def below(spark: SparkSession, path: str, prefix: str = "", pattern: str = "*.pa
 
     The folder is that of the file. All files are one scan with a declared schema: a field that a file lacks is null there and makes no map."""
     found = spark.read.schema(_schema(fields)).option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).parquet(path)
-    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
+    folder = F.substring_index(F.substring_index(F.col("_metadata.file_path"), "/", -2), "/", 1)
     value: list[Column] = [F.struct(F.concat(F.lit(prefix), folder, F.lit(f"/{name}")).alias("map"), (F.when(F.col(f) < 0, 0.0).otherwise(F.col(f)) if positive else F.col(f)).alias("score")) for f, (name, positive) in fields.items()]
     out = found.select("hour", "entity", F.explode(F.array(*value)).alias("x")).where("x.score IS NOT NULL")
     return out.select("x.map", "hour", "entity", "x.score")

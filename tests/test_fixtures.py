@@ -154,7 +154,7 @@ def test_losses_and_means(spark):
     assert row.a == 800.0 and row.b == pytest.approx(3 * math.log(2))
     df = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 1.0), ("b", 5.0)], "e string, x double")
     got = metrics.mean_of_means(df, "e", "x").first()
-    assert got.scale == 3.0 and got.pooled == pytest.approx(math.sqrt(7), abs=1e-5)
+    assert got.scale == pytest.approx(math.sqrt(13), abs=1e-6) and got.pooled == pytest.approx(math.sqrt(7), abs=1e-5)
 
 
 def test_scorer_equals_loop(spark):

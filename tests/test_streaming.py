@@ -47,3 +47,26 @@ def test_sources(spark, tmp_path):
     manifest = spark.createDataFrame([(name, right), ("gone", "00")], "name string, sha256 string")
     assert {r.name: r.intact for r in tables.verified(spark, str(tmp_path / "x"), manifest).collect()} == {name: True, "gone": False}
     assert tables.resume(spark.range(4), spark.range(2), ["id"]).count() == 2
+
+
+def test_sessions_equal_gaps(spark, tmp_path):
+    e = _arrivals(spark, tmp_path)
+    out = hourly.collected(hourly.sessions(hourly.events(spark, str(tmp_path / "in"), 100), gap="6 hours"), str(tmp_path / "out"), str(tmp_path / "check"))
+    times, want = {}, set()
+    for r in e.select("user_id", "ts").orderBy("user_id", "ts").collect():
+        times.setdefault(r.user_id, []).append(r.ts)
+    for user, ts in times.items():
+        runs = [[ts[0]]]
+        for t in ts[1:]:
+            runs[-1].append(t) if (t - runs[-1][-1]).total_seconds() < 6 * 3600 else runs.append([t])
+        want |= {(user, run[0], len(run)) for run in runs}
+    got = {(r.entity, r.begin, r.n) for r in out.collect()}
+    assert got and got <= want and len(got) > len(want) / 2
+
+
+def test_repeated_events_come_once(spark, tmp_path):
+    e = _arrivals(spark, tmp_path)
+    e.where("event_id % 2 = 0").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out = hourly.collected(hourly.deduplicated(hourly.events(spark, str(tmp_path / "in"), 100)), str(tmp_path / "out"), str(tmp_path / "check"))
+    ids = [r.event_id for r in out.collect()]
+    assert sorted(ids) == sorted(r.event_id for r in e.collect())
