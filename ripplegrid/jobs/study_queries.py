@@ -87,6 +87,19 @@ def conservation_loss(spark, sf_dir):
     return out.select(*[F.round(c, 6).alias(c) for c in ("dq", "junctions", "midpoints", "leak", "total")])
 
 
+def loss_references(spark, sf_dir):
+    """What the losses of the network's flows are held against, from the twelfth month of each link on."""
+    flows = _flows(spark, sf_dir)
+    usable = F.col("n") >= 12
+    numbered = flows.withColumn("n", F.row_number().over(Window.partitionBy("link").orderBy("episode", "step")))
+    return metrics.loss_references(numbered, F.col("label"), usable, "y1", float(conservation.scale(flows, "y1", "y2").first()["scale"]))
+
+
+def safest_link(spark, sf_dir):
+    """Of every node's outgoing links the one whose smallest flow over all steps is the largest."""
+    return metrics.best_worst(_flows(spark, sf_dir).withColumnRenamed("a", "node"), "link", "q2", ["node"])
+
+
 def replayed_flows(spark, sf_dir):
     """Predicted flows at every step: changes in units of the scale turned back into flows by adding the reference, the balance, and its error."""
     flows = _flows(spark, sf_dir)
@@ -242,6 +255,8 @@ QUERIES = {
     event_synthesis: f"WITH {GRID}, {_KERNEL}, {_CASES}, {_GAINS} SELECT mode, share, " + ", ".join(f"round(avg({f}) FILTER ({c}), 6) AS {n}_{f}" for n, c in (("event", "NOT control"), ("control", "control")) for f in ("before", "after", "gain")) + ", round(avg(gain) FILTER (NOT control) - avg(gain) FILTER (control), 6) AS difference FROM gg JOIN cs USING (\"case\") GROUP BY ALL",
     conservation_fit: f"WITH {_FLOWS}, {_FIT} SELECT round(scale, 6) AS scale, round(junctions, 6) AS junctions, round(midpoints, 6) AS midpoints FROM ft",
     conservation_loss: f"WITH {_FLOWS}, {_FIT}, w AS (SELECT round(count(*) FILTER (NOT label) / count(*) FILTER (label), 9) AS w, count(*) FILTER (label) AS p, count(*) FILTER (NOT label) AS n FROM fp), t AS (SELECT (SELECT avg(((p1 - y1) ** 2 + (p2 - y2) ** 2) / 2) FROM fp) / (scale * scale) AS dq, {_BALANCE.format('', '(p1 - y1)', '(p2 - y2)')} / (scale * scale) / junctions AS junctions, (SELECT avg((p1 - y1 - p2 + y2) ** 2) FROM fp) / (scale * scale) / midpoints AS midpoints, (SELECT avg((1 - label::INT) * z + (1 + (w.w - 1) * label::INT) * (ln(1 + exp(-abs(z))) + greatest(-z, 0))) FROM fp, w) / (SELECT round(0.6931471805599453::DOUBLE * (n + n / p * p) / (n + p), 9) FROM w) AS leak FROM ft, nn) SELECT round(dq, 6) AS dq, round(junctions, 6) AS junctions, round(midpoints, 6) AS midpoints, round(leak, 6) AS leak, round(leak / 2 + (dq + junctions + midpoints) / 6, 6) AS total FROM t",
+    loss_references: f"WITH {_FLOWS}, u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY link ORDER BY episode, step) AS n FROM fp) WHERE n >= 12), c AS (SELECT count(*) FILTER (label) AS p, count(*) FILTER (NOT label) AS n, avg(y1 * y1) AS s FROM u) SELECT round(n / p, 9) AS weight, round(ln(2) * (n + n / p * p) / (n + p), 9) AS even_loss, round(s / (scale * scale), 9) AS flow_loss FROM c, sc",
+    safest_link: f"WITH {_FLOWS}, w AS (SELECT a AS node, link, min(q2) AS worst FROM fp GROUP BY 1, 2) SELECT node, link, worst FROM w QUALIFY row_number() OVER (PARTITION BY node ORDER BY worst DESC, link) = 1",
     replayed_flows: f"WITH {_FLOWS} SELECT episode, step, link, round(q1 - y1 + p1, 6) AS predicted_q1, round(q2 - y2 + p2, 6) AS predicted_q2, round(q1 - y1 + p1 - (q2 - y2 + p2), 6) AS balance, round(p1 - y1, 6) AS error FROM fp",
     episode_map: f"WITH {_FLOWS}, e AS (SELECT *, rank() OVER (PARTITION BY episode ORDER BY step DESC) AS r FROM fp) SELECT episode, step, link, round(z, 6) AS score, (row_number() OVER (PARTITION BY episode ORDER BY z DESC, link))::INTEGER AS place, label AS active FROM e WHERE r = 1",
     simulated_test: f"WITH {_TESTED}, {_CALIBRATED}, rs AS (" + " UNION ALL ".join(_tested(k) for k in (1, 5, 10)) + ") SELECT * FROM rs, cal",

@@ -100,3 +100,22 @@ def errors(rows: DataFrame, truth: str, guess: str) -> DataFrame:
     """One row: mae, rmse, n."""
     gap = F.col(guess) - F.col(truth)
     return rows.agg(F.round(F.avg(F.abs(gap)), 6).alias("mae"), F.round(F.sqrt(F.avg(gap * gap)), 6).alias("rmse"), F.count("*").alias("n"))
+
+
+def loss_references(df: DataFrame, label: Column, usable: Column, flow: str, scale: float) -> DataFrame:
+    """One row: what losses are held against: weight (negatives / positives), even_loss (weighted log loss of even odds) and flow_loss (mean square of the
+    flow over its scale, the loss of predicting none). Rows without both labels or with no flow at all are an error."""
+    one = df.where(usable).agg(F.count_if(label).alias("positives"), F.count_if(~label).alias("negatives"), F.avg(F.col(flow) * F.col(flow)).alias("square"))
+    sound = (F.col("positives") > 0) & (F.col("negatives") > 0) & (F.col("square") > 0)
+    w = F.when(sound, F.col("negatives") / F.col("positives")).otherwise(F.raise_error(F.lit("labels of both kinds and a flow are needed")))
+    even = F.log(F.lit(2.0)) * 2 * F.col("negatives") / (F.col("negatives") + F.col("positives"))  # negatives and weighted positives count the same
+    return one.select(F.round(w, 9).alias("weight"), F.round(even, 9).alias("even_loss"), F.round(F.col("square") / (scale * scale), 9).alias("flow_loss"))
+
+
+def best_worst(df: DataFrame, candidate: str, value: str, within: list[str] | None = None) -> DataFrame:
+    """The candidate whose smallest value is the largest (the smaller candidate on ties), of each group of ``within`` or of all, and that value as ``worst``."""
+    keys = within or []
+    worst = df.groupBy(*keys, candidate).agg(F.min(value).alias("worst"))
+    pick = worst.groupBy(*keys).agg(F.max("worst").alias("worst"))
+    tied = worst.withColumnRenamed("worst", "w").join(pick, keys) if keys else worst.withColumnRenamed("worst", "w").crossJoin(F.broadcast(pick))  # one row
+    return tied.where("w = worst").groupBy(*keys).agg(F.min(candidate).alias(candidate), F.first("worst").alias("worst"))

@@ -52,12 +52,13 @@ def scale(train: DataFrame, column: str) -> DataFrame:
 
 
 def merged_moments(train: DataFrame, episode: str, column: str, mask: Column) -> DataFrame:
-    """One row: centre, spread, n from sums, squares and counts by episode that are then added up."""
+    """One row: centre, spread, n from sums, squares and counts by episode that are then added up; a tiny spread counts as 1."""
     x = F.when(mask, F.col(column).cast("double"))
     parts = train.groupBy(episode).agg(F.sum(x).alias("s1"), F.sum(x * x).alias("s2"), F.count(x).alias("m"))
     total = parts.agg(F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.sum("m").alias("n"))
     centre = F.try_divide("s1", "n")
-    return total.select(centre.alias("centre"), F.sqrt(F.greatest(F.try_divide("s2", "n") - centre * centre, F.lit(0.0))).alias("spread"), "n")
+    spread = F.sqrt(F.greatest(F.try_divide("s2", "n") - centre * centre, F.lit(0.0)))
+    return total.select(centre.alias("centre"), F.when(spread < TINY, 1.0).otherwise(spread).alias("spread"), "n")
 
 
 def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:

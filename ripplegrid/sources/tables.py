@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ripplegrid.schema import TABLES
+from ripplegrid.sources.shared import path_of
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,13 +26,30 @@ def discovered(spark: SparkSession, path: str, pattern: str = "*.parquet") -> Da
     return files.select("path", F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("name"), "length")
 
 
-def verified(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    """The manifest (name, sha256) with ``intact``: whether the file of that name has that hash; false if there is none."""
+def hashed(spark: SparkSession, path: str) -> DataFrame:
+    """name, sha256 of every file below a folder; the name is the path from there."""
+    where, system = path_of(spark, path)
+    root = system.makeQualified(where).toString()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    seen = files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("found"))
+    return files.select(F.substr("path", F.lit(len(root) + 2)).alias("name"), F.sha2("content", 256).alias("sha256"))
+
+
+def verified(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+    """The manifest (name, sha256) with ``intact``: whether the file of that name below the folder has that hash; false if there is none."""
+    seen = hashed(spark, path).withColumnRenamed("sha256", "found")
     return manifest.join(seen, "name", "left").select("name", "sha256", F.coalesce(F.col("sha256") == F.col("found"), F.lit(False)).alias("intact"))
 
 
+def measured(rows: DataFrame, sensors: DataFrame, first: str, last: str, every: str, values: list[str]) -> DataFrame:
+    """ts, sensor and the values at every step from first to last for all sensors (sensor); a step without a row, or with a value that is null or NaN, is an error when it is read.
+
+    rows has ts (a step's beginning) and sensor, at most one row each."""
+    steps = sensors.select("sensor", F.explode(F.expr(f"sequence(timestamp_ntz'{first}', timestamp_ntz'{last}', interval {every})")).alias("ts"))
+    inside = rows.where(F.col("ts").between(F.lit(first).cast("timestamp_ntz"), F.lit(last).cast("timestamp_ntz"))).select("ts", "sensor", *values)
+    missing = lambda c: F.raise_error(F.concat(F.lit(f"no {c} at "), F.col("ts").cast("string"), F.lit(" of "), F.col("sensor").cast("string")))
+    return steps.join(inside, ["ts", "sensor"], "left").select("ts", "sensor", *[F.when(F.col(c).isNull() | F.isnan(c), missing(c)).otherwise(F.col(c)).alias(c) for c in values])
+
+
 def write_new(df: DataFrame, path: str) -> None:
     """Writes Parquet; fails if something is there."""
     df.write.mode("errorifexists").parquet(path)

@@ -172,3 +172,26 @@ def test_days_are_pruned_and_halos_equal_whole_windows(spark, tmp_path):
     assert all(scored[k] == pytest.approx(float(net(np.array(v)[None, :, None])[0])) for k, v in want.items())
     with pytest.raises(ValueError):
         scorer.CausalNet.from_dict({"layers": net.to_dict()["layers"][:2], "head": net.to_dict()["head"]})
+
+
+def test_files_are_told_apart_by_their_folders(spark, tmp_path):
+    spark.range(6).select("id", (F.col("id") % 3).alias("k")).repartition("k").write.partitionBy("k").parquet(f"{tmp_path}/t")
+    known = spark.createDataFrame([tuple(r) for r in tables.hashed(spark, f"{tmp_path}/t").where("name LIKE '%.parquet'").collect()], "name string, sha256 string")
+    assert known.count() == 3 and {r.name[:4] for r in known.collect()} == {"k=0/", "k=1/", "k=2/"}
+    name = known.first().name
+    file = tmp_path / "t" / name
+    file.write_bytes(b"other")
+    (file.parent / f".{file.name}.crc").unlink()  # the local file system's own checksum would be an error before
+    assert {r.name for r in tables.verified(spark, f"{tmp_path}/t", known).collect() if not r.intact} == {name}
+
+
+def test_a_slice_lacks_nothing(spark):
+    rows = [(f"2024-01-01 0{h}:00:00", s, float(h)) for h in range(4) for s in ("a", "b")]
+    df = spark.createDataFrame(rows, "ts string, sensor string, x double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    sensors = spark.createDataFrame([("a",), ("b",)], "sensor string")
+    cut = lambda d: tables.measured(d, sensors, "2024-01-01 01:00:00", "2024-01-01 03:00:00", "1 hour", ["x"]).collect()
+    assert sorted((r.ts.hour, r.sensor, r.x) for r in cut(df)) == [(h, s, float(h)) for h in (1, 2, 3) for s in ("a", "b")]
+    for bad in (df.where("NOT (sensor = 'b' AND x = 2)"), df.withColumn("x", F.when(F.col("x") == 2, F.lit(float("nan"))).otherwise(F.col("x")))):
+        with pytest.raises(Exception, match="no x at 2024-01-01 02:00:00"):
+            cut(bad)
+    assert len(cut(df.where("x > 0"))) == 6  # what lies outside may be missing

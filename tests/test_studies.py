@@ -167,3 +167,23 @@ def test_shape_of_what_is_near(spark):
     bad = [(0, 0, 0.0), (1, 1, 0.0), (2, 2, 5.0), (0, 1, 7.0), (1, 0, 7.0), (1, 2, 3.0), (2, 1, 4.0), (0, 2, 1.0), (0, 3, -1.0), (3, 0, -1.0), (9, 9, float("nan"))]
     got = {r.rule: r.violations for r in norm.pairwise_violations(spark.createDataFrame(bad, "p bigint, q bigint, d double"), entities).collect()}
     assert got["symmetry"] >= 3 and got["diagonal"] == 2 and got["distance"] == 3 and got["unknown"] == 2
+
+
+def test_references_of_losses(spark):
+    df = spark.createDataFrame([(True, 2.0), (False, 4.0), (False, 0.0), (False, 100.0)], "y boolean, q double")
+    r = metrics.loss_references(df, F.col("y"), F.col("q") < 50, "q", 2.0).first()
+    assert r.weight == 2.0 and r.even_loss == pytest.approx(math.log(2) * 4 / 3, abs=1e-8) and r.flow_loss == pytest.approx((1 + 4 + 0) / 3, abs=1e-8)
+    with pytest.raises(Exception, match="both kinds"):
+        metrics.loss_references(df, F.col("y"), F.col("q") > 3, "q", 2.0).collect()
+
+
+def test_the_best_of_the_worst(spark):
+    df = spark.createDataFrame([("x", "a", 1.0), ("x", "a", 9.0), ("x", "b", 3.0), ("x", "b", 4.0), ("x", "c", 3.0), ("y", "d", -1.0)], "g string, k string, v double")
+    assert [(r.k, r.worst) for r in metrics.best_worst(df, "k", "v").collect()] == [("b", 3.0)]
+    assert {(r.g, r.k, r.worst) for r in metrics.best_worst(df, "k", "v", ["g"]).collect()} == {("x", "b", 3.0), ("y", "d", -1.0)}
+
+
+def test_a_tiny_spread_counts_as_one(spark):
+    df = spark.createDataFrame([("a", 2.0), ("b", 2.0)], "e string, x double")
+    row = norm.merged_moments(df, "e", "x", F.lit(True)).first()
+    assert (row.centre, row.spread, row.n) == (2.0, 1.0, 2)
