@@ -5,7 +5,8 @@ tag, links not counted; lines of menus, headers, footers, sidebars, notices, adv
 have ratio 0. The ratios are smoothed by a Gaussian along the page, and lines at or above the standard deviation of the smoothed
 ratios are content. The region is the article or main element that holds most of the content, or, on pages without one, the
 smallest element that holds nearly all of it. All lines of the region that are not boilerplate are returned, short ones too; on pages
-without an article or main element a line must also be content itself or stand in the same container as one that is.
+without an article or main element a line must also be content, stand in the same container as one that is, lie between such lines and be no
+list of links, or be a heading before them.
 
 White space is what str.split() takes for it; br is white space inside a block. Headings in the header of an article are kept, the rest of
 such a header is not. Tags that HTML lets one leave out are added. A page is one row and is parsed whole; pages are independent, so the job is a
@@ -38,12 +39,14 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 AWAY_TAGS = frozenset("nav footer aside menu dialog".split())
 AWAY_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 AWAY_WORDS = frozenset(
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs masthead footer sidebar sidebars widget widgets ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo "
-    "promos promotion banner banners cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations "
-    "pagination pager toolbar skip copyright".split()
+    "nav navbar topnav subnav sidenav menu menubar mainmenu submenu masthead topbar bottombar colophon aside side rail sidenote widget widgets ad ads adbox adslot adsense adsbygoogle promo "
+    "promos promoted promotion banner banners consent gdpr privacy notice notices announcement announcements alert alerts popup modal overlay signup login search share sharing social related recommended "
+    "recommendations trending popular teaser teasers pagination pager toolbar skip copyright disclaimer".split()
 )
+#: Beginnings of such words.
+AWAY_STEMS = ("advert", "breadcrumb", "cookie", "footer", "navig", "newsletter", "sidebar", "sponsor", "subscri")
 #: Words of a class or id that mark what readers have written.
-COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
+COMMENT_WORDS = frozenset("comment comments commentlist commenters disqus guestbook reactions respond responses reply replies discussion".split())
 _ARTICLE_WORDS = frozenset("article post entry content story page".split())
 _UNLESS = frozenset("with has no without".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -69,14 +72,14 @@ def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> int:
             return _STRONG
         if name == "role" and (value or "").lower() in AWAY_ROLES:
             mark = mark or _WEAK
-        elif name in ("class", "id") and value and tag not in ("html", "body", "main"):
+        elif name in ("class", "id", "aria-label") and value and tag not in ("html", "body", "main"):
             for one in value.split():
                 words = {w.lower() for w in _WORDS.findall(one)}
                 if words & _UNLESS:
                     continue
                 if words & COMMENT_WORDS:
                     return _STRONG
-                if words & AWAY_WORDS:
+                if words & AWAY_WORDS or any(w.startswith(AWAY_STEMS) for w in words):
                     mark = _WEAK if mark in (_KEEP, _HEAD) else mark
                 elif "header" in words and mark == _KEEP:
                     mark = _HEAD if words & _ARTICLE_WORDS else _WEAK
@@ -84,11 +87,11 @@ def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> int:
 
 
 class _Page(HTMLParser):
-    """Lines (element, text, tags, characters in links, in a heading) and elements (tag, parent, mark) of a page."""
+    """Lines (element, text, tags, characters in links) and elements (tag, name: the tag or, by its role, main; parent, mark) of a page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.tags, self.parents, self.marks = [""], [-1], [_KEEP]
+        self.tags, self.names, self.parents, self.marks = [""], [""], [-1], [_KEEP]
         self.stack: list[int] = [0]
         self.lines: list[tuple[int, str, int, int]] = []
         self.pieces: list[str] = []
@@ -139,6 +142,7 @@ class _Page(HTMLParser):
                     if open_ in ended:
                         self._pop(i)
         self.tags.append(tag)
+        self.names.append("main" if block and ("role", "main") in attrs else tag)
         self.parents.append(self.stack[-1])
         self.marks.append(mark)
         self.stack.append(len(self.tags) - 1)
@@ -184,12 +188,12 @@ def _fates(page: _Page) -> list[int]:
         paragraphs[node] += page.tags[node] == "p"
     for i in range(count - 1, 0, -1):
         paragraphs[page.parents[i]] += paragraphs[i]
-        bodies[page.parents[i]] |= bodies[i] or page.tags[i] in ("article", "main", "h1")
+        bodies[page.parents[i]] |= bodies[i] or page.names[i] in ("article", "main", "h1")
     fates, inside = [_KEEP] * count, [False] * count
     for i in range(1, count):
-        tag, above, mark = page.tags[i], fates[page.parents[i]], page.marks[i]
+        tag, above, mark = page.names[i], fates[page.parents[i]], page.marks[i]
         inside[i] = inside[page.parents[i]] or tag in ("article", "main")
-        if tag == "form" and mark == _KEEP and not (bodies[i] or paragraphs[i] >= 3):
+        if page.tags[i] == "form" and mark == _KEEP and not (bodies[i] or paragraphs[i] >= 3):
             mark = _STRONG
         if mark == _HEAD and not inside[i] and tag == "header":
             mark = _WEAK
@@ -208,10 +212,16 @@ def _fates(page: _Page) -> list[int]:
 
 def _region(page: _Page, fates: list[int], weight: list[int]) -> tuple[int, bool]:
     """The element whose lines are the main text, and whether it is an article or main element. weight: characters of content in each element."""
-    named = [i for i, tag in enumerate(page.tags) if tag in ("article", "main") and fates[i] == _KEEP and weight[i]]
+    named = [i for i, tag in enumerate(page.names) if tag in ("article", "main") and fates[i] == _KEEP and weight[i]]
     if named:
-        most = max(weight[i] for i in named)
-        return [i for i in named if weight[i] >= 0.7 * most][-1], True
+        best = max(named, key=lambda i: (weight[i], -i))
+        for i in named:  # parents come before children
+            up = i
+            while up > best:
+                up = page.parents[up]
+            if up == best and weight[i] >= 0.7 * weight[best]:
+                best = i
+        return best, True
     region, children = 0, [[] for _ in page.tags]
     for i in range(1, len(page.tags)):
         children[page.parents[i]].append(i)
@@ -234,9 +244,11 @@ def main_text(html: str | None) -> str:
     kept = [fates[node] == _KEEP for node, _, _, _ in page.lines]
     ratio = np.array([(len(text) - min(linked, len(text))) / max(1, tags) if keep else 0.0 for (_, text, tags, linked), keep in zip(page.lines, kept, strict=True)])
     smooth = np.convolve(ratio, _KERNEL, mode="full")[2 : 2 + len(ratio)]
-    content = (smooth >= smooth.std()) & np.array(kept)
+    content = (smooth >= smooth.std()) & (ratio > 0)
     if not content.any():
         content = np.array(kept)
+    if not content.any():
+        return ""
     weight = [0] * len(page.tags)
     for (node, text, _, _), good in zip(page.lines, content.tolist(), strict=True):
         weight[node] += len(text) * good
@@ -248,8 +260,12 @@ def main_text(html: str | None) -> str:
     for i in range(1, len(page.tags)):
         within[i] = i == region or within[page.parents[i]]
         box[i] = i if page.tags[i] in _CONTAINERS else box[page.parents[i]]
-    good = {box[line[0]] for line, c in zip(page.lines, content.tolist(), strict=True) if c}
-    return "\n\n".join(text for (node, text, _, _), keep in zip(page.lines, kept, strict=True) if keep and within[node] and (named or box[node] in good))
+    inside = [i for i, (line, keep) in enumerate(zip(page.lines, kept, strict=True)) if keep and within[line[0]]]
+    if not named:
+        good = {box[line[0]] for line, c in zip(page.lines, content.tolist(), strict=True) if c}
+        first, last = min(i for i in inside if content[i]), max(i for i in inside if content[i])
+        inside = [i for i in inside if box[page.lines[i][0]] in good or page.tags[page.lines[i][0]] in _HEADINGS and i < first or first < i < last and 2 * page.lines[i][3] < len(page.lines[i][1])]
+    return "\n\n".join(page.lines[i][1] for i in inside)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -48,6 +48,12 @@ STORY = "The river rose for three days before anyone in the valley thought of le
         (f"<article><p>a<br>b <b>c</b>d<span class=ad>x</span> <span hidden>y</span>e</p><!-- <p>no</p> --><![if IE]><p>{STORY}</p></article>", f"a b cd e\n\n{STORY}"),
         (f"<form action=/><div><h1>Hm</h1><p>{STORY}</p><p>{STORY}</p></div></form>", f"Hm\n\n{STORY}\n\n{STORY}"),
         ("<div class=ad>Buy</div><footer>us</footer>", ""),
+        (f"<article><p>{STORY} one</p></article><article><p>{STORY}</p></article>", f"{STORY} one"),
+        (f"<main><article><p>{STORY} one</p></article><article><p>{STORY} two</p></article></main>", f"{STORY} one\n\n{STORY} two"),
+        (f"<div role=banner><h1>Site</h1></div><div role=main><h1>T</h1><p>{STORY}</div></div><div class='side-column'><p>{STORY}</div><div class=cookieBar>{STORY}</div>", f"T\n\n{STORY}"),
+        (f"<body><div id=wrap><div class=title><h1>T</h1></div><div class=text><p>{STORY}</p></div><div class=note><p>Short.</p></div><ul><li><a href=/>See this</a><li><a href=/>and that</a></ul><div class=text><p>{STORY}</p></div></div><div class=links><a href=/>a</a> <a href=/>b</a></div>", f"T\n\n{STORY}\n\nShort.\n\n{STORY}"),
+        (f"<article><p>{STORY}</p><section aria-label=Comments><p>{STORY} {STORY}</p></section></article>", STORY),
+        (f"<table><tr><td class=menu><a href=/>x</a><td><p>{STORY}<p>End.</table>", f"{STORY}\n\nEnd."),
         ("<article><table><tr><td>a<td>b<tr><td>c</table><button>no</button><p>d</article><p>e", "a\n\nb\n\nc\n\nd"),
     ],
 )
