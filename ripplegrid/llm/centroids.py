@@ -88,8 +88,11 @@ def nearest(v: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return number, best, computed
 
 
-def _vectors(batch: pa.RecordBatch, dims: int) -> np.ndarray:
-    return whole(batch["v"].flatten().to_numpy(zero_copy_only=False).reshape(-1, dims))
+def _vectors(batch: pa.RecordBatch, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which vectors of a batch have finite components only (a null counts as NaN), and those as whole numbers."""
+    x = batch["v"].flatten().to_numpy(zero_copy_only=False).reshape(-1, dims).astype(float)
+    finite = np.isfinite(x).all(axis=1)
+    return finite, whole(x[finite])
 
 
 def _both(v: np.ndarray, centroids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +113,7 @@ def _sums(centroids: list[list[int]], dims: int):
         count = [0] * len(centroids)
         for batch in batches:
             if batch.num_rows:
-                v, c = _both(_vectors(batch, dims), centroids)
+                v, c = _both(_vectors(batch, dims)[1], centroids)
                 which, _, _ = nearest(v, c)
                 for k in np.unique(which).tolist():
                     mine = v[which == k]
@@ -144,9 +147,10 @@ def _assigned(centroids: list[list[int]], dims: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                which, distance, _ = nearest(*_both(_vectors(batch, dims), centroids))
+                finite, v = _vectors(batch, dims)
+                which, distance, _ = nearest(*_both(v, centroids))
                 capped = pa.array([min(int(x), _LARGEST) for x in distance.tolist()] if distance.dtype == object else distance, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch["vec_id"], pa.array(which.astype(np.int32)), capped], names=["vec_id", "cluster", "distance"])
+                yield pa.RecordBatch.from_arrays([batch["vec_id"].filter(pa.array(finite)), pa.array(which.astype(np.int32)), capped], names=["vec_id", "cluster", "distance"])
 
     return run
 
@@ -155,9 +159,11 @@ def cluster(vectors: DataFrame, k: int = 8, rounds: int = 10, dims: int = 64, se
     """vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256 of every vector that takes part.
 
     Centroids start as the k vectors with the smallest sha256 of ``<seed>:<vec_id>`` (of one id: the smallest vector first)."""
-    kept = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(usable("v", dims))
+    plain = vectors.schema["embedding"].dataType.simpleString() in ("array<float>", "array<double>")
+    v = F.col("embedding") if plain else F.col("embedding").cast("array<double>")
+    kept = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), v.alias("v")).where(F.size("v") == dims)  # tasks leave out what is not finite
     key = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
-    first = kept.orderBy(key.asc_nulls_last(), "v").limit(k).collect()  # k rows
+    first = kept.where(usable("v", dims)).orderBy(key.asc_nulls_last(), "v").limit(k).collect()  # k rows
     centroids = [whole(r.v).tolist() for r in first]
     schema = "vec_id bigint, cluster int, distance bigint"
     if not centroids:
