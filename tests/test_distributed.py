@@ -35,6 +35,8 @@ def test_ranks_are_taken_from_the_parts_that_hold_them(spark):
     parts = order_stats.ranged(df, [], "v", 16)
     sizes = [r.n for r in parts.groupBy("part").agg(F.count("*").alias("n")).collect()]
     assert len(sizes) > 4 and max(sizes) < 4000
+    tied = order_stats.ranged(df.withColumn("v", F.when(F.col("v") % 3 == 0, 5.0).otherwise(F.col("v"))), [], "v", 16)
+    assert tied.where("x = 5").count() == 1 and tied.agg(F.sum("n")).first()[0] == 10_000  # a third of all rows is one row
     ranks = spark.createDataFrame([(0,), (17,), (9_999,), (20_000,)], "rank bigint")
     want = sorted(r.v for r in df.collect())
     assert {r["rank"]: r.x for r in order_stats.at_ranks(parts, [], ranks).collect()} == {k: want[k] for k in (0, 17, 9_999)}
