@@ -38,21 +38,10 @@ _WORTH = 16  # a further round of leaders must bring one in so many of all links
 _SALTS = 64  # parts over which the pairs of one leader are dealt
 _ORDER_BITS = 18  # shingles are ordered by how often their cells of so many bits are met; any order gives the same links
 _BLOCK = 256  # texts of one shingle that one key of the join holds
-_BEFORE = 16  # elements before it that come along with each element of a prefix
+_BEFORE = 4  # elements before it that come along with each element of a prefix
 _SETS = 8  # longs of a text's bitmap: each bit tells whether it has an odd number of the elements that fall there
-_BYTES = 6  # of each shingle's hash are kept for the comparison
-
-
-def _cut(values: np.ndarray) -> np.ndarray:
-    """The upper 48 bits of ascending 64-bit values, as bytes."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - _BYTES :]).reshape(-1)
-
-
-def _uncut(raw: np.ndarray) -> np.ndarray:
-    """The 48-bit values that _cut has kept."""
-    out = np.zeros((len(raw) // _BYTES, 8), np.uint8)
-    out[:, :_BYTES] = raw.reshape(-1, _BYTES)
-    return out.reshape(-1).view("<u8")
+_BITMAP = [f"set{i}" for i in range(_SETS)]
+_ROWS = 2048  # texts of a slice, at most
 
 
 def _points(seed: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,37 +107,69 @@ def shingles(raw: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return of[order], value[order], words, first, size
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id and text of docs, with hashes of the text and of both."""
+    doc_id, text = F.col("doc_id").cast("bigint"), F.col("text").cast("string")
+    return docs.select(doc_id.alias("doc_id"), F.xxhash64(text).alias("text_key"), F.xxhash64(doc_id, text).alias("key"), text.alias("text"))
+
+
+def _spelled(column, k: int):
+    """Slices of the texts: first and last row, row and hash of each shingle in ascending order, and a hash of each text's words."""
+    raw, at = text_bytes(column)
+    i, n = 0, len(at) - 1
+    while i < n:
+        j = min(n, i + _ROWS, max(i + 1, int(np.searchsorted(at, at[i] + _SLICE))))
+        of, value, words, first, _ = shingles(raw[at[i] : at[j]], at[i : j + 1] - at[i], k)
+        content = np.array([int.from_bytes(hashlib.blake2b(words[a:b].tobytes(), digest_size=8).digest(), "little", signed=True) for a, b in zip(first[:-1], first[1:], strict=True)], np.int64)
+        yield i, j, of, value, content
+        i = j
+
+
+def _elements(of: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The element of every shingle, and where each text's next distinct shingle begins: the n-th of a text's equal shingles is an
+    element of its own."""
+    new = np.concatenate([[True], (value[1:] != value[:-1]) | (of[1:] != of[:-1])]) if len(of) else np.zeros(0, bool)
+    edge = np.flatnonzero(new)
+    turn = np.arange(len(value)) - np.repeat(edge, np.diff(np.append(edge, len(value))))
+    return mix(value + turn.astype(np.uint64) * _GOLDEN), edge
+
+
+def _bitmaps(of: np.ndarray, element: np.ndarray, n: int) -> np.ndarray:
+    """The bitmaps of n texts, of _SETS longs each."""
+    odd = np.bincount(of * (64 * _SETS) + (element & np.uint64(64 * _SETS - 1)).astype(np.int64), minlength=n * 64 * _SETS) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8").reshape(-1, _SETS)
+
+
+def _near(a: str, b: str, threshold: float):
+    """Whether two texts can reach the threshold: they differ in at least as many elements as their bitmaps in bits."""
+    apart = reduce(operator.add, [F.bit_count(F.col(f"{x}_{a}").bitwiseXOR(F.col(f"{x}_{b}"))) for x in _BITMAP])
+    both = F.col(f"weight_{a}") + F.col(f"weight_{b}")
+    return both - apart >= threshold * (both + apart) - 1e-6
+
+
 def prepared(docs: DataFrame, k: int = 5, bands: int = 32, rows: int = 6) -> DataFrame:
-    """doc_id, text_key (hash of the text as it is), id (hash of its word sequence, so equal for copies), weight, bands,
-    shingles (sorted 48-bit hashes) and row (a number of its own) of each text."""
+    """doc_id, text_key (hash of the text as it is), key (hash of both), id (hash of its word sequence, so equal for copies),
+    weight, bands, bitmap and row (a number of its own) of each text. Shingles are not written: the texts that are
+    compared are read again."""
 
     def prepare(batches):
         for batch in batches:
-            raw, at = text_bytes(batch["text"])
-            i, n = 0, batch.num_rows
-            while i < n:
-                j = min(n, max(i + 1, int(np.searchsorted(at, at[i] + _SLICE))))
-                of, value, words, first, _ = shingles(raw[at[i] : at[j]], at[i : j + 1] - at[i], k)
-                new = np.concatenate([[True], (value[1:] != value[:-1]) | (of[1:] != of[:-1])]) if len(of) else np.zeros(0, bool)
-                edge = np.flatnonzero(new)
-                sig = signatures(of[edge], value[edge], np.diff(np.append(edge, len(of))), j - i, bands * rows)
-                part = sig.reshape(j - i, bands, rows)
-                key = np.broadcast_to(np.arange(bands, dtype=np.uint64), (j - i, bands)).copy()
+            for i, j, of, value, content in _spelled(batch["text"], k):
+                n = j - i
+                element, edge = _elements(of, value)
+                sig = signatures(of[edge], value[edge], np.diff(np.append(edge, len(of))), n, bands * rows)
+                part = sig.reshape(n, bands, rows)
+                key = np.broadcast_to(np.arange(bands, dtype=np.uint64), (n, bands)).copy()
                 for r in range(rows):
                     key = mix(key * _GOLDEN + part[:, :, r])
-                weight = np.bincount(of, minlength=j - i)
-                kept = np.where(weight > 0, bands, 0)
-                cuts = np.concatenate([[0], np.cumsum(weight)])
-                content = np.array([int.from_bytes(hashlib.blake2b(words[a:b].tobytes(), digest_size=8).digest(), "little", signed=True) for a, b in zip(first[:-1], first[1:], strict=True)], np.int64)
+                weight = np.bincount(of, minlength=n)
+                cuts = np.concatenate([[0], np.cumsum(np.where(weight > 0, bands, 0))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    batch["doc_id"].slice(i, j - i), batch["text_key"].slice(i, j - i), pa.array(content), pa.array(weight.astype(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)), pa.array(key[weight > 0].reshape(-1).view(np.int64))),
-                    pa.BinaryArray.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((cuts * _BYTES).astype(np.int32)), pa.py_buffer(_cut(value))]),
-                ], names=["doc_id", "text_key", "id", "weight", "bands", "shingles"])
-                i = j
-
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
-    made = own.mapInArrow(lambda batches: lean(prepare(batches)), "doc_id bigint, text_key bigint, id bigint, weight bigint, bands array<bigint>, shingles binary")
+                    *[batch[c].slice(i, n) for c in ("doc_id", "text_key", "key")], pa.array(content), pa.array(weight.astype(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(cuts), pa.array(key[weight > 0].reshape(-1).view(np.int64))), *map(pa.array, _bitmaps(of, element, n).T.copy()),
+                ], names=["doc_id", "text_key", "key", "id", "weight", "bands", *_BITMAP])
+
+    made = _keyed(docs).mapInArrow(lambda batches: lean(prepare(batches)), "doc_id bigint, text_key bigint, key bigint, id bigint, weight bigint, bands array<bigint>, " + ", ".join(f"{x} bigint" for x in _BITMAP))
     return written(made.withColumn("row", F.monotonically_increasing_id()), "near-prepared")
 
 
@@ -164,31 +185,59 @@ def overlap(x: np.ndarray, y: np.ndarray) -> float:
 
 def _bags(column) -> list[np.ndarray]:
     raw, at = text_bytes(column.cast(pa.large_binary()))
-    return [_uncut(raw[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
+    return [raw[i:j].view("<u8") for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
 def _pieces(batches, size: int = 1 << 18):
-    """The batches in slices of about so many bytes of shingles: what is made of a shingle takes many times its bytes."""
+    """The batches in slices of about so many bytes of shingles, with row and value of each: what is made of a shingle takes many times its bytes."""
     for batch in batches:
-        at, i = text_bytes(batch["shingles"].cast(pa.large_binary()))[1], 0
+        raw, at = text_bytes(batch["shingles"].cast(pa.large_binary()))
+        i = 0
         while i < batch.num_rows:
-            j = min(batch.num_rows, max(i + 1, int(np.searchsorted(at, at[i] + size))))
-            yield batch.slice(i, j - i)
+            j = min(batch.num_rows, i + _ROWS, max(i + 1, int(np.searchsorted(at, at[i] + size))))
+            yield batch.slice(i, j - i), np.repeat(np.arange(j - i), np.diff(at[i : j + 1]) // 8), raw[at[i] : at[j]].view("<u8")
             i = j
 
 
-def _bags_of(ids: DataFrame, many: int, table: DataFrame, classes: DataFrame) -> DataFrame:
-    """id, weight, shingles of the given ids (``many`` rows, of which some may be alike): of each the row that stands for its class."""
+def _few(rows: DataFrame, many: int) -> DataFrame:
+    return F.broadcast(rows) if many <= _BROADCAST_IDS else rows
+
+
+def _bags_of(ids: DataFrame, many: int, docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """id, weight, shingles (sorted 64-bit hashes) of the given ids (``many`` rows, of which some may be alike), from the text that
+    stands for each class."""
+    keys = ids.join(classes.select("id", "key"), "id").select("key")
+
+    def spell(batches):
+        for batch in batches:
+            for i, j, of, value, content in _spelled(batch["text"], k):
+                weight = np.bincount(of, minlength=j - i)
+                cuts = np.concatenate([[0], np.cumsum(8 * weight)]).astype(np.int32)
+                bags = pa.BinaryArray.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(cuts), pa.py_buffer(value.astype("<u8"))])
+                yield pa.RecordBatch.from_arrays([pa.array(content), pa.array(weight.astype(np.int64)), bags], names=["id", "weight", "shingles"])
+
+    texts = _keyed(docs).join(_few(keys, many), "key", "left_semi").select("text")
+    bags = texts.mapInArrow(lambda batches: lean(spell(batches)), "id bigint, weight bigint, shingles binary")
+    bags = written(bags.withColumn("at", F.monotonically_increasing_id()), "near-shingles")
+    one = bags.groupBy("id").agg(F.min("at").alias("at")).select("at")  # a row that comes twice, id and all, is read twice
+    return bags.join(_few(one, many), "at", "left_semi").drop("at")
+
+
+def _possible(pairs: DataFrame, table: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose bitmaps do not prove that they are below the threshold."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     rows = ids.join(classes.select("id", "row"), "id").select("row")
-    rows = F.broadcast(rows) if many <= _BROADCAST_IDS else rows
-    return table.join(rows, "row", "left_semi").select("id", "weight", "shingles")
+    known = table.join(_few(rows, 2 * pairs.count()), "row", "left_semi").select("id", "weight", *_BITMAP)
+    for x in ("a", "b"):
+        pairs = pairs.join(known.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("weight", *_BITMAP)]), x)
+    return written(pairs.where(_near("a", "b", threshold)).select("a", "b"), "near-possible")
 
 
-def _verified(pairs: DataFrame, table: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, threshold: float, k: int) -> DataFrame:
     """The pairs (a, b) whose overlap reaches the threshold, with it. The pairs of one leader are dealt over several parts,
     each of which gets the leader's shingles once."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    bags = _bags_of(needed, 2 * pairs.count(), table, classes)
+    bags = _bags_of(needed, 2 * pairs.count(), docs, classes, k)
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(_SALTS)).cast("int"))
     left = salted.select("a", "salt").distinct().join(bags.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
     right = bags.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
@@ -230,35 +279,23 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(moved.select("id", F.coalesce("new", "root").alias("root")).unionByName(alone.select("id", "root")), "near-labels")
 
 
-def _elements(column) -> tuple[np.ndarray, np.ndarray]:
-    """The row and 64-bit value of every element of bags of sorted shingles: the n-th of equal shingles is an element of its own."""
-    raw, at = text_bytes(column.cast(pa.large_binary()))
-    at = at // _BYTES
-    value = _uncut(raw)
-    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    new = np.concatenate([[True], (value[1:] != value[:-1]) | (row[1:] != row[:-1])]) if len(value) else np.zeros(0, bool)
-    edge = np.flatnonzero(new)
-    turn = np.arange(len(value)) - np.repeat(edge, np.diff(np.append(edge, len(value))))
-    return row, mix(value + turn.astype(np.uint64) * _GOLDEN)
-
-
-def _rest(member: DataFrame, table: DataFrame, classes: DataFrame, labels: DataFrame, tried: DataFrame, threshold: float) -> DataFrame:
+def _rest(member: DataFrame, docs: DataFrame, classes: DataFrame, labels: DataFrame, tried: DataFrame, threshold: float, k: int) -> DataFrame:
     """Pairs (a, b) of texts of bands that hold more than one class that can reach the threshold and were not tried.
 
-    Prefix, length, positional and bitmap filter (two texts differ in at least as many elements as their bitmaps in bits): a pair that is left out is of one class or proven to be below the threshold. Two
+    Prefix, length, positional and bitmap filter: a pair that is left out is of one class or proven to be below the threshold. Two
     texts meet at an element that their prefixes share only if the few before it have none in common: otherwise they have met
     at one of those, and the first that they share is never passed over."""
     apart = member.join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
     several = apart.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
     open_ids = apart.join(several.select("band"), "band", "left_semi").select("id", "root").distinct()
     open_ids = written(open_ids, "near-open")
-    rest = written(_bags_of(open_ids.select("id"), open_ids.count(), table, classes).join(open_ids, "id"), "near-rest")
-    shift, sets = np.uint64(64 - _ORDER_BITS), [f"set{i}" for i in range(_SETS)]
+    rest = _bags_of(open_ids.select("id"), open_ids.count(), docs, classes, k).join(open_ids, "id")
+    shift = np.uint64(64 - _ORDER_BITS)
 
     def count(batches):
         total = np.zeros(1 << _ORDER_BITS, np.int64)
-        for batch in _pieces(batches):
-            total += np.bincount((_elements(batch["shingles"])[1] >> shift).astype(np.int64), minlength=len(total))
+        for _, row, value in _pieces(batches):
+            total += np.bincount((_elements(row, value)[0] >> shift).astype(np.int64), minlength=len(total))
         cell = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(total[cell])], names=["cell", "n"])
 
@@ -267,8 +304,8 @@ def _rest(member: DataFrame, table: DataFrame, classes: DataFrame, labels: DataF
     often[met["cell"].to_numpy()] = met["n"].to_numpy()
 
     def prefix(batches):
-        for batch in _pieces(batches):
-            row, element = _elements(batch["shingles"])
+        for batch, row, shingle in _pieces(batches):
+            element, _ = _elements(row, shingle)
             order = np.lexsort((element, often[(element >> shift).astype(np.int64)], row))
             weight = np.bincount(row, minlength=batch.num_rows)
             place = np.arange(len(row)) - np.repeat(np.cumsum(weight) - weight, weight)
@@ -278,26 +315,22 @@ def _rest(member: DataFrame, table: DataFrame, classes: DataFrame, labels: DataF
             ends = np.cumsum(many)
             ahead = np.arange(ends[-1] if len(ends) else 0) + np.repeat(at - ends, many)  # places of the elements before each
             last = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(value[ahead]))
-            odd = np.bincount(row * (64 * _SETS) + (element & np.uint64(64 * _SETS - 1)).astype(np.int64), minlength=batch.num_rows * 64 * _SETS) & 1
-            bits = np.packbits(odd.astype(np.uint8)).view("<i8").reshape(-1, _SETS)[row[kept]]
-            yield pa.RecordBatch.from_arrays([*[batch[c].take(of) for c in ("id", "root", "weight")], pa.array(value[kept]), pa.array(place[kept]), last, *map(pa.array, bits.T.copy())], names=["id", "root", "weight", "element", "place", "last", *sets])
+            bits = _bitmaps(row, element, batch.num_rows)[row[kept]]
+            yield pa.RecordBatch.from_arrays([*[batch[c].take(of) for c in ("id", "root", "weight")], pa.array(value[kept]), pa.array(place[kept]), last, *map(pa.array, bits.T.copy())], names=["id", "root", "weight", "element", "place", "last", *_BITMAP])
 
-    tokens = written(rest.mapInArrow(lambda batches: lean(prefix(batches)), "id bigint, root bigint, weight bigint, element bigint, place bigint, last array<bigint>, " + ", ".join(f"{x} bigint" for x in sets)), "near-prefixes")
+    tokens = written(rest.mapInArrow(lambda batches: lean(prefix(batches)), "id bigint, root bigint, weight bigint, element bigint, place bigint, last array<bigint>, " + ", ".join(f"{x} bigint" for x in _BITMAP)), "near-prefixes")
     hot = tokens.groupBy("element").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
     salted = tokens.join(hot.select("element", F.ceil(F.col("n") / _BLOCK).cast("int").alias("blocks")), "element").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = salted.withColumn("other", other).select("id", "root", "weight", "element", "place", "last", *sets, "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+    dealt = salted.withColumn("other", other).select("id", "root", "weight", "element", "place", "last", *_BITMAP, "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
     keys = ["element", "low", "high"]
-    left, right = (dealt.select(*keys, *[F.col(c).alias(f"{c}_{s}") for c in ("id", "root", "weight", "place", "last", *sets, "mine")]) for s in ("a", "b"))
+    left, right = (dealt.select(*keys, *[F.col(c).alias(f"{c}_{s}") for c in ("id", "root", "weight", "place", "last", *_BITMAP, "mine")]) for s in ("a", "b"))
     once = (F.col("low") == F.col("high")) | (F.col("mine_a") != F.col("mine_b"))
     size = F.least("weight_a", "weight_b") >= threshold * F.greatest("weight_a", "weight_b")
     after = F.least(F.col("weight_a") - F.col("place_a"), F.col("weight_b") - F.col("place_b"))  # this element and those behind it
     place = F.least("place_a", "place_b") + after >= threshold / (1 + threshold) * (F.col("weight_a") + F.col("weight_b")) - 1e-6
-    apart = reduce(operator.add, [F.bit_count(F.col(f"{x}_a").bitwiseXOR(F.col(f"{x}_b"))) for x in sets])  # elements of only one of them, at least
-    both = F.col("weight_a") + F.col("weight_b")
-    far = both - apart >= threshold * (both + apart) - 1e-6
     new = ~F.arrays_overlap("last_a", "last_b")
-    pairs = left.join(right, keys).where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & once & size & place & far & new)
+    pairs = left.join(right, keys).where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & once & size & place & _near("a", "b", threshold) & new)
     return written(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
 
 
@@ -320,10 +353,10 @@ def groups(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands: int = 32,
 def _groups(docs: DataFrame, threshold: float, k: int, bands: int, rows: int, rounds: int, leaders_per_class: int) -> DataFrame:
     small_batches(docs.sparkSession)
     table = prepared(docs, k, bands, rows)
-    classes = written(table.groupBy("id").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.min("row").alias("row")), "near-classes")
+    classes = written(table.groupBy("id").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.min("row").alias("row"), F.min_by("key", "row").alias("key")), "near-classes")
     member = table.join(classes.select("row", "class_id"), "row").select("id", "weight", F.col("class_id").alias("first"), F.explode("bands").alias("band"))
-    shared = member.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    member = written(member.join(shared.select("band"), "band"), "near-bands")
+    shared = written(member.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "near-shared")
+    member = written(member.join(_few(shared, shared.count()), "band"), "near-bands")
     who = F.struct(F.col("first").isNull().alias("last"), "first", "id", "weight")  # the least is that of the smallest doc_id
     tried, labels, linked = None, None, 0
     for turn in range(rounds):
@@ -344,8 +377,8 @@ def _groups(docs: DataFrame, threshold: float, k: int, bands: int, rows: int, ro
         pairs = met.select(F.least("lead.id", "id").alias("a"), F.greatest("lead.id", "id").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "near-pairs")
-        found = _verified(pairs, table, classes, threshold)
+        pairs = _possible(written(pairs, "near-pairs"), table, classes, threshold)
+        found = _verified(pairs, docs, classes, threshold, k)
         tried = pairs if tried is None else tried.unionByName(pairs)
         new = found.count()
         if turn and not new:
@@ -355,7 +388,7 @@ def _groups(docs: DataFrame, threshold: float, k: int, bands: int, rows: int, ro
         if turn and new * _WORTH < linked:  # what few are still apart meet below
             break
     if labels is not None:
-        found = _verified(_rest(member, table, classes, labels, tried, threshold), table, classes, threshold)
+        found = _verified(_rest(member, docs, classes, labels, tried, threshold, k), docs, classes, threshold, k)
         if found.limit(1).count():
             labels = _joined(labels, found)
         least = labels.join(classes, "id").groupBy("root").agg(F.min("class_id").alias("group_id"))

@@ -433,6 +433,24 @@ def test_near_odd_rows(spark):
     assert len({r.group_key for r in rows}) == 3 and len(rows) == 5
 
 
+def test_near_rows_that_repeat_whole(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    got = near_dedup.groups(docs(spark, [(1, base)] * 40 + [(2, base + " end")] * 40 + [(3, "something else")] * 2)).collect()
+    assert sorted((r.doc_id, r.class_id, r.group_id, r.copies) for r in got) == [(1, 1, 1, 40)] * 40 + [(2, 2, 1, 40)] * 40 + [(3, 3, 3, 2)] * 2
+
+
+def test_near_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(1)
+    bags = [np.sort(rng.integers(0, 900, rng.integers(1, 1500)).astype(np.uint64)) for _ in range(40)]
+    of = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+    element, _ = near_dedup._elements(of, np.concatenate(bags))
+    bits = np.unpackbits(near_dedup._bitmaps(of, element, len(bags)).view(np.uint8), axis=1)
+    for i, x in enumerate(bags):
+        for j, y in enumerate(bags):
+            a, b = collections.Counter(x.tolist()), collections.Counter(y.tolist())
+            assert (bits[i] != bits[j]).sum() <= ((a - b) + (b - a)).total()
+
+
 # 8
 def test_m_tree_equals_sql(spark):
     assert differences(entry.op8_m_tree(spark, SF), entry.ORACLE_SQL["op8_m_tree"], duck(SF)) == []
