@@ -19,11 +19,12 @@ from __future__ import annotations
 
 import hashlib
 import operator
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplegrid.llm.common import lean, scratch, small_batches, written
@@ -140,10 +141,11 @@ def _bitmaps(of: np.ndarray, element: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view("<i8").reshape(-1, _SETS)
 
 
-def _near(a: str, b: str, threshold: float):
-    """Whether two texts can reach the threshold: they differ in at least as many elements as their bitmaps in bits."""
-    apart = reduce(operator.add, [F.bit_count(F.col(f"{x}_{a}").bitwiseXOR(F.col(f"{x}_{b}"))) for x in _BITMAP])
-    both = F.col(f"weight_{a}") + F.col(f"weight_{b}")
+def _near(a: Callable[[str], Column], b: Callable[[str], Column], threshold: float) -> Column:
+    """Whether two texts, whose columns a and b name, can reach the threshold: they differ in at least as many elements as their
+    bitmaps in bits."""
+    apart = reduce(operator.add, [F.bit_count(a(x).bitwiseXOR(b(x))) for x in _BITMAP])
+    both = a("weight") + b("weight")
     return both - apart >= threshold * (both + apart) - 1e-6
 
 
@@ -223,16 +225,6 @@ def _bags_of(ids: DataFrame, many: int, docs: DataFrame, classes: DataFrame, k:
     return bags.join(_few(one, many), "at", "left_semi").drop("at")
 
 
-def _possible(pairs: DataFrame, table: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose bitmaps do not prove that they are below the threshold."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    rows = ids.join(classes.select("id", "row"), "id").select("row")
-    known = table.join(_few(rows, 2 * pairs.count()), "row", "left_semi").select("id", "weight", *_BITMAP)
-    for x in ("a", "b"):
-        pairs = pairs.join(known.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("weight", *_BITMAP)]), x)
-    return written(pairs.where(_near("a", "b", threshold)).select("a", "b"), "near-possible")
-
-
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, threshold: float, k: int) -> DataFrame:
     """The pairs (a, b) whose overlap reaches the threshold, with it. The pairs of one leader are dealt over several parts,
     each of which gets the leader's shingles once."""
@@ -330,7 +322,7 @@ def _rest(member: DataFrame, docs: DataFrame, classes: DataFrame, labels: DataFr
     after = F.least(F.col("weight_a") - F.col("place_a"), F.col("weight_b") - F.col("place_b"))  # this element and those behind it
     place = F.least("place_a", "place_b") + after >= threshold / (1 + threshold) * (F.col("weight_a") + F.col("weight_b")) - 1e-6
     new = ~F.arrays_overlap("last_a", "last_b")
-    pairs = left.join(right, keys).where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & once & size & place & _near("a", "b", threshold) & new)
+    pairs = left.join(right, keys).where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & once & size & place & _near(lambda c: F.col(f"{c}_a"), lambda c: F.col(f"{c}_b"), threshold) & new)
     return written(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
 
 
@@ -354,10 +346,10 @@ def _groups(docs: DataFrame, threshold: float, k: int, bands: int, rows: int, ro
     small_batches(docs.sparkSession)
     table = prepared(docs, k, bands, rows)
     classes = written(table.groupBy("id").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.min("row").alias("row"), F.min_by("key", "row").alias("key")), "near-classes")
-    member = table.join(classes.select("row", "class_id"), "row").select("id", "weight", F.col("class_id").alias("first"), F.explode("bands").alias("band"))
+    member = table.join(classes.select("row", "class_id"), "row").select("id", "weight", *_BITMAP, F.col("class_id").alias("first"), F.explode("bands").alias("band"))
     shared = written(member.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "near-shared")
     member = written(member.join(_few(shared, shared.count()), "band"), "near-bands")
-    who = F.struct(F.col("first").isNull().alias("last"), "first", "id", "weight")  # the least is that of the smallest doc_id
+    who = F.struct(F.col("first").isNull().alias("last"), "first", "id", "weight", *_BITMAP)  # the least is that of the smallest doc_id
     tried, labels, linked = None, None, 0
     for turn in range(rounds):
         if labels is None:
@@ -371,13 +363,13 @@ def _groups(docs: DataFrame, threshold: float, k: int, bands: int, rows: int, ro
             some = written(some, "near-classes")
             largest = some.groupBy("band", "root").agg(F.sum("n").alias("n")).groupBy("band").agg(F.max(F.struct("n", "root")).alias("x"), F.count("*").alias("classes")).where("classes > 1").select("band", F.col("x.root").alias("lead_root"))
             leaders = some.join(largest, "band").where("root = lead_root").select("band", F.col("who").alias("lead"), "lead_root")
-            meeting = some.groupBy("band", "root").agg(F.min_by("who", "slot").alias("who")).select("band", "root", "who.id", "who.weight")
+            meeting = some.groupBy("band", "root").agg(F.min_by("who", "slot").alias("who")).select("band", "root", *[f"who.{c}" for c in ("id", "weight", *_BITMAP)])
         met = meeting.join(leaders, "band").where((F.col("lead.id") != F.col("id")) & (F.col("lead_root").isNull() | (F.col("lead_root") != F.col("root"))))
-        met = met.where(F.least("weight", "lead.weight") >= threshold * F.greatest("weight", "lead.weight"))
+        met = met.where((F.least("weight", "lead.weight") >= threshold * F.greatest("weight", "lead.weight")) & _near(F.col, lambda c: F.col(f"lead.{c}"), threshold))
         pairs = met.select(F.least("lead.id", "id").alias("a"), F.greatest("lead.id", "id").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = _possible(written(pairs, "near-pairs"), table, classes, threshold)
+        pairs = written(pairs, "near-pairs")
         found = _verified(pairs, docs, classes, threshold, k)
         tried = pairs if tried is None else tried.unionByName(pairs)
         new = found.count()
