@@ -9,7 +9,7 @@ import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,14 +72,26 @@ def scratch(spark: SparkSession):
             _delete(spark, path)
 
 
-def lean(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches; after the last, memory that Arrow and the allocator keep for later goes back, as Python workers live on."""
-    yield from rows
+def give_back() -> None:
+    """Memory that Arrow and the allocator keep for later goes back to the machine: Python workers live on through later stages."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def lean(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after the last, unused memory goes back."""
+    yield from rows
+    give_back()
+
+
+def lean_group(of_group: Callable[..., pa.Table], *group) -> pa.Table:
+    """What of_group makes of a group; what it held meanwhile goes back."""
+    made = of_group(*group)
+    give_back()
+    return made
+
+
 def small_batches(spark: SparkSession, size: str = "8m") -> None:
     """Arrow batches of at most so many bytes, unless the session has a limit of its own: whole texts go through them, and a
     batch is held several times over on its way to a Python worker."""

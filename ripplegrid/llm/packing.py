@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from ripplegrid.llm.common import lean, small_batches, written
 from ripplegrid.llm.wordbytes import span_hashes, text_bytes
 
-_SLICE = 2 << 20
+_SLICE = 1 << 19
 _KEPT = 1 << 17  # runs of letters whose ids a worker remembers
 _KIND = np.full(256, 2, np.uint8)  # 0 white space, 1 letters and non-ASCII, 2 other ASCII
 _KIND[[0x20, *range(0x09, 0x0E)]] = 0

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ripplegrid.llm.common import range_bounds, range_part, small_batches, text_volume
+from ripplegrid.llm.common import lean_group, range_bounds, range_part, small_batches, text_volume
 from ripplegrid.llm.wordbytes import distinct, rolling, span_hashes, text_bytes, word_spans
 
 _ID, _TEXT, _CHUNK = "__doc_id", "__text", "__chunk"
@@ -215,7 +215,7 @@ def repeats(docs: DataFrame, window: int = 13, chunk_bytes: int = 3 << 20, bucke
             earlier, later = _met(probes, np.repeat(chunk, n_probes), blocks, np.repeat(chunk, n_blocks))
             return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "probes": pa.array(_bits(earlier, n_probes), pa.binary()), "blocks": pa.array(_bits(later, n_blocks), pa.binary())})
 
-        return of_bucket
+        return lambda key, table: lean_group(of_bucket, key, table)
 
     def ask_windows(key, table, answers):
         c = _Chunk(table)
@@ -239,9 +239,9 @@ def repeats(docs: DataFrame, window: int = 13, chunk_bytes: int = 3 << 20, bucke
         gone = np.cumsum(cover[:-1]) > 0
         return _result(c, gone)
 
-    asked = chunked.groupBy(_CHUNK).applyInArrow(ask, _ASK)
+    asked = chunked.groupBy(_CHUNK).applyInArrow(lambda key, table: lean_group(ask, key, table), _ASK)
     anchors = asked.groupBy("bucket").applyInArrow(answer(np.uint32), _ANSWER)
-    asked = chunked.groupBy(_CHUNK).cogroup(anchors.groupBy("chunk")).applyInArrow(ask_windows, _ASK)
+    asked = chunked.groupBy(_CHUNK).cogroup(anchors.groupBy("chunk")).applyInArrow(lambda key, table, answers: lean_group(ask_windows, key, table, answers), _ASK)
     found = asked.groupBy("bucket").applyInArrow(answer(np.uint64), _ANSWER)
     both = anchors.withColumn("step", F.lit(0)).unionByName(found.withColumn("step", F.lit(1)))
 
@@ -253,7 +253,7 @@ def repeats(docs: DataFrame, window: int = 13, chunk_bytes: int = 3 << 20, bucke
         parts = [answers.filter(pa.array(step == s)) for s in (0, 1)]
         return cut_out(key, table, *parts)
 
-    return chunked.groupBy(_CHUNK).cogroup(both.groupBy("chunk")).applyInArrow(finish, schema)
+    return chunked.groupBy(_CHUNK).cogroup(both.groupBy("chunk")).applyInArrow(lambda key, table, answers: lean_group(finish, key, table, answers), schema)
 
 
 def _chunk_of(key, table: pa.Table) -> int:
