@@ -497,6 +497,21 @@ def test_pseudo_likelihood_learns(spark):
     assert pseudo_likelihood.score(docs(spark, [])).count() == 0
 
 
+def test_pseudo_likelihood_trains_on_every_document(spark):
+    """Of three documents, all are learned from: a share of 8 % holds none of them and leaves the network as it was drawn."""
+    rows = [(i, "red fox ran off " * 2000) for i in (1, 2, 3)]
+    assert pseudo_likelihood.score(docs(spark, rows), classes=2, members=4, share=0.08).agg({"mean_log_likelihood": "max"}).first()[0] < -1.9
+    assert pseudo_likelihood.score(docs(spark, rows), classes=2, members=4).agg({"mean_log_likelihood": "min"}).first()[0] > -1.5
+
+
+def test_words_as_numbers(spark):
+    rows = [(1, "Red fox, red off"), (2, None), (3, " . "), (4, "fox")]
+    words = pseudo_likelihood.vocabulary(docs(spark, rows), 2)  # red and fox
+    got = {r.doc_id: np.frombuffer(r.words, "<u2").tolist() for r in pseudo_likelihood.numbered(docs(spark, rows), words).collect()}
+    red, fox = got[1][0], got[4][0]
+    assert sorted((red, fox)) == [1, 2] and got == {1: [red, fox, red, 0], 2: [], 3: [], 4: [fox]}
+
+
 def test_gradients_match_differences():
     """The step that train() takes, with unit squares, is against the gradient of the mean log-probability."""
     net = pseudo_likelihood.Network(classes=3, members=2, width=4)
