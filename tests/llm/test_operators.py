@@ -107,6 +107,33 @@ def test_toxicity_index_is_exact():
         assert dict(zip(index.ids[place[text == i]].tolist(), cosine[text == i].tolist())) == {j: pytest.approx(s) for j, s in want.items()}
 
 
+def test_toxicity_common_terms_are_not_walked(monkeypatch):
+    """Places of postings that are walked for texts of 6 terms of 40 % of the examples and 60 of 2 %: those of rare terms alone."""
+    rng, n, m, k = np.random.default_rng(22), 300, 66, 7
+    dense = (rng.random((n, m)) < np.repeat([0.4, 0.02], [6, 60])) * rng.integers(1, 3, (n, m))
+    rows, terms = np.nonzero(dense)
+    weights = rng.random(m) + 0.1
+    index = toxicity.Index(np.arange(n), np.arange(n), np.zeros(n), rows, terms, dense[rows, terms].astype(float), weights, block=16)
+    unit = np.where(dense > 0, (1 + np.log(np.maximum(dense, 1))) * weights, 0)
+    unit = unit / np.maximum(np.sqrt((unit**2).sum(axis=1, keepdims=True)), 1e-12)
+    query = (rng.random((40, m)) < 0.3).astype(float)
+    row, t = np.nonzero(query)
+    walked, ranges = [], toxicity._ranges
+    monkeypatch.setattr(toxicity, "_ranges", lambda start, size: walked.append(int(size.sum())) or ranges(start, size))
+    index.common()
+    walked.clear()
+    text, place, cosine = index.nearest(row, t, np.ones(len(t)), 40, k, np.full(40, -1))
+    rare = int((dense > 0).sum(axis=0)[t[t >= 6]].sum())
+    assert sum(walked) <= 2 * rare < (dense > 0).sum(axis=0)[t].sum()
+    for i in range(40):
+        q = query[i] * weights
+        score = unit @ (q / np.sqrt(q @ q))
+        want = {j: s for j, s in enumerate(score) if s > 1e-9 and s >= np.sort(score)[-k] - 1e-9}
+        assert dict(zip(index.ids[place[text == i]].tolist(), cosine[text == i].tolist())) == {j: pytest.approx(s) for j, s in want.items()}
+    slices = list(toxicity._slices(pa.array([None, ""] * 5000, pa.string()), np.zeros(0, np.uint64)))
+    assert max(j - i for i, j, *_ in slices) <= 1024 and slices[-1][1] == 10_000
+
+
 def test_toxicity_equals_brute_force(spark, texts):
     labels, k = {r.doc_id: r.toxic for r in table(spark, "labels").collect()}, 15
     bags = {i: collections.Counter(re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", t.lower())) for i, t in texts.items()}
