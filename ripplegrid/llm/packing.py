@@ -45,27 +45,43 @@ class Encoder:
 
     def __init__(self, path: str, end: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.end = Tokenizer.from_file(path), end
+        self.letters = Tokenizer(self.tokenizer.model)  # for lower-case ASCII letters, which normalization leaves as they are
+        self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        if any(t.content.isalpha() for t in self.tokenizer.get_added_tokens_decoder().values()):
+            self.letters = self.tokenizer
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self._forget()
+        self.slot: dict[int, int] = {}
+        self.ids, self.sizes, self.starts = np.array([end], np.uint32), np.array([1], np.int64), np.zeros(1, np.int64)
+        self.uses = np.zeros(1, np.int64)  # slices that each piece was met in
 
     def _forget(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.ids, self.sizes = np.array([self.end], np.uint32), np.array([1], np.int64)
-        self.starts = np.zeros(1, np.int64)
+        """Keeps the pieces that most slices had, half of _KEPT at most and none that one slice alone had; what they were used counts half from now on."""
+        often = np.argsort(-self.uses[1:], kind="stable")[: _KEPT // 2] + 1
+        often = np.concatenate([[0], np.sort(often[self.uses[often] > 1])])
+        place = np.full(len(self.uses), -1)
+        place[often] = np.arange(len(often))
+        place = place.tolist()
+        self.slot = {h: place[i] for h, i in self.slot.items() if place[i] > 0}
+        sizes = self.sizes[often]
+        starts = np.cumsum(sizes) - sizes
+        self.ids = self.ids[np.arange(sizes.sum()) + np.repeat(self.starts[often] - starts, sizes)]
+        self.sizes, self.starts, self.uses = sizes, starts, self.uses[often] // 2
 
     def _learn(self, hashes: list[int], pieces: list[str]) -> None:
         """Encodes pieces. Lower-case Latin words are one pre-token each, whose last id alone closes a word, so many
         of them go to the tokenizer as one text."""
-        plain = [p.isalpha() and p.islower() and max(p) < "\u0250" for p in pieces]
-        order = [i for i, x in enumerate(plain) if x]
-        ids, sizes = self._words([pieces[i] for i in order])
-        if sizes is None:
-            order, ids, sizes = [], np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        plain = [p.isalpha() and p.islower() and (p.isascii() or max(p) < "\u0250") for p in pieces]
+        groups = [[i for i, x in enumerate(plain) if x and pieces[i].isascii()], [i for i, x in enumerate(plain) if x and not pieces[i].isascii()]]
+        order, ids, sizes = [], np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        for group, tokenizer in zip(groups, (self.letters, self.tokenizer), strict=True):
+            its, size = self._words([pieces[i] for i in group], tokenizer)
+            if size is not None:
+                order, ids, sizes = order + group, np.concatenate([ids, its]), np.concatenate([sizes, size])
         taken = set(order)
         rest = [i for i in range(len(pieces)) if i not in taken]
         found = [e.ids for e in self.tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)]
@@ -74,11 +90,12 @@ class Encoder:
         sizes = np.concatenate([sizes, more])
         self.slot.update(zip([hashes[i] for i in [*order, *rest]], range(len(self.sizes), len(self.sizes) + len(sizes)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.uses = np.concatenate([self.uses, np.zeros(len(sizes), np.int64)])
         self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
 
-    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray | None]:
+    def _words(self, words: list[str], tokenizer) -> tuple[np.ndarray, np.ndarray | None]:
         texts = [" ".join(words[i : i + 256]) for i in range(0, len(words), 256)]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         ids = np.fromiter(chain.from_iterable(found), np.uint32)
         ends = np.flatnonzero(self.closes[ids]) + 1
         if len(ends) != len(words) or len(ids) and ends[-1] != len(ids):
@@ -115,6 +132,7 @@ class Encoder:
             missing = [hashes[i] for i in new]
             self._learn(missing, [data[x:y].decode() for x, y in zip(a, b, strict=True)])
             slots[new] = np.fromiter(map(self.slot.__getitem__, missing), np.int64, len(missing))
+        self.uses[slots] += 1
         per_text = np.searchsorted(starts, at)
         slots = np.insert(slots[codes], per_text[1:], 0)
         sizes = self.sizes[slots]

@@ -339,6 +339,25 @@ def test_packing_odd_rows(spark):
     assert packing.pack(docs(spark, [(1, "a"), (1, "a"), (None, "b")]), BPE).agg(F.sum("length")).first()[0] == 6
 
 
+def test_encoder_keeps_frequent_pieces(monkeypatch):
+    """Words of every slice are encoded once, though a worker forgets those that it met once."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "_KEPT", 100)
+    bpe, own, learned = Tokenizer.from_file(BPE), packing.Encoder(BPE, 1), collections.Counter()
+    learn = own._learn
+    monkeypatch.setattr(own, "_learn", lambda hashes, pieces: learned.update(pieces) or learn(hashes, pieces))
+    rng = random.Random(5)
+    often = ["red", "fox", "\u00e9t\u00e9", "42", "stra\u00dfe"]
+    for _ in range(20):
+        texts = [" ".join([*often, *("".join(rng.choices("abcdefghij", k=7)) for _ in range(30))]) for _ in range(2)]
+        raw, at = text_bytes(pa.array(texts))
+        ids, cuts = own.encode(raw, at)
+        for t, x, y in zip(texts, cuts[:-1], cuts[1:], strict=True):
+            assert ids[x:y].tolist() == [*bpe.encode(t, add_special_tokens=False).ids, 1]
+    assert len(own.slot) < 200 and sum(learned.values()) > 1000 and all(learned[w] == 1 for w in often[:2])
+
+
 def test_encoder_equals_tokenizer():
     from tokenizers import Tokenizer
 
