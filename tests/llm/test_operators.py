@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -591,6 +592,78 @@ def test_training_raises_the_likelihood():
     assert net.log_probability(words, context).mean() > before
 
 
+def _plain_step(net, words, context, squares, rate=0.15):
+    """The step of train() in its former, costlier form: numpy's indexing row by row, divisions for every number."""
+    w, n, of = net.weights, len(words), words // net.members
+
+    def softmax(z):
+        z -= z.max()
+        np.exp(z, out=z)
+        z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
+        return z
+
+    h = net.hidden(context)
+    g = softmax(h @ w["a"] + w["a0"])
+    g[np.arange(n), of] -= 1
+    count = np.bincount(of, minlength=net.classes)
+    groups = -(-count // 32)
+    place, group = np.empty(n, np.int64), np.repeat(np.arange(net.classes), groups)
+    place[np.argsort(of, kind="stable")] = np.arange(n) + np.repeat((np.cumsum(groups) - groups) * 32 - (np.cumsum(count) - count), count)
+    spread, full = np.zeros((len(group) * 32, net.width), h.dtype), np.zeros(len(group) * 32, bool)
+    spread[place], full[place] = h, True
+    spread = spread.reshape(-1, 32, net.width)
+    z = np.matmul(spread, w["w"][group])
+    z += w["w0"][group][:, None]
+    p = softmax(z.reshape(-1, net.members))
+    p[place, words % net.members] -= 1
+    p[~full] = 0
+    p = p.reshape(-1, 32, net.members)
+    back = g @ w["a"].T + np.matmul(p, w["w"][group].transpose(0, 2, 1)).reshape(-1, net.width)[place]
+    back *= 1 - h * h
+    row = (context + (np.arange(len(context)) * (net.size + 1))[:, None]).ravel()
+    rare = np.flatnonzero(context.ravel())
+    order = rare[np.argsort(row[rare].astype(np.uint16), kind="stable")]
+    row = row[order]
+    edge, first = np.flatnonzero(np.diff(row, prepend=-1)), np.flatnonzero(np.diff(group, prepend=-1))
+    sums = pseudo_likelihood._sums
+    for k, at, x in (
+        ("a", slice(None), h.T @ g), ("a0", slice(None), g.sum(axis=0)), ("b", slice(None), back.sum(axis=0)),
+        ("w", group[first], sums(np.matmul(spread.transpose(0, 2, 1), p).reshape(len(group), -1), first).reshape(-1, net.width, net.members)), ("w0", group[first], sums(p.sum(axis=1), first)),
+        ("e", np.arange(len(context)) * (net.size + 1), (context == 0).astype(back.dtype) @ back), ("e", row[edge], sums(back[order % n], edge)),
+    ):
+        flat = (lambda v: v.reshape(-1, net.width)) if k == "e" else (lambda v: v)
+        square = flat(squares[k])[at] + (x / n) ** 2
+        flat(squares[k])[at] = square
+        flat(w[k])[at] -= (rate * (x / n) / (np.sqrt(square) + 1e-6)).astype(np.float32)
+
+
+def test_steps_are_the_plain_ones_and_cost_less():
+    """The same weights as by the plain step, in a batch of word 0 alone too, in less than 83 % of its CPU seconds."""
+    rng, seconds, nets = np.random.default_rng(3), {"plain": [], "own": []}, {}
+    words = np.where(rng.random(1024 * 24) < 0.5, 0, np.minimum(rng.zipf(1.2, 1024 * 24), 1023))
+    words[-1024:] = 0
+    for _ in range(7):
+        for name in seconds:
+            net = nets[name] = pseudo_likelihood.Network()
+            context, squares = net.contexts(words, np.arange(len(words)) // 500), {k: np.full_like(v, 1e-3) for k, v in net.weights.items()}
+            began = time.thread_time()
+            for a in range(0, len(words), 1024):
+                part = words[a : a + 1024], context[:, a : a + 1024], squares
+                _plain_step(net, *part) if name == "plain" else net.train(*part)
+            seconds[name].append(time.thread_time() - began)
+    for k, v in nets["plain"].weights.items():
+        assert np.abs(v - nets["own"].weights[k]).max() < 1e-3, k
+    assert min(seconds["own"]) < 0.83 * min(seconds["plain"])
+
+
+def test_numbers_of_words_whose_hashes_begin_alike():
+    words = np.array([2**64 - 1, 0, 5 << 40, 5 << 40 | 1, 5 << 40 | 2, 1 << 63], np.uint64)
+    find = pseudo_likelihood._Numbers(words)
+    assert find(words).tolist() == [1, 2, 3, 4, 5, 6]
+    assert find(np.array([1, 5 << 40 | 3, 2**64 - 2, 6 << 40, 1 << 63 | 1], np.uint64)).tolist() == [0] * 5
+    assert pseudo_likelihood._Numbers(words[:0])(words).tolist() == [0] * 6
+
+
 # 10
 def test_codewords_are_apart():
     for n in (2, 3, 4, 5, 9, 40):
