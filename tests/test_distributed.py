@@ -2,12 +2,13 @@
 
 import heapq
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ripplegrid.operators import compare, graph, order_stats, plan, rank, spatial, windows
+from ripplegrid.operators import compare, graph, grid, order_stats, plan, rank, spatial, windows
 
 
 def _plan(df):
@@ -196,3 +197,25 @@ def test_comparison_without_active_entities(spark):
     near = spark.createDataFrame([(p, p) for p in range(12)], "p bigint, q bigint")
     row = compare.comparison(maps.withColumn("active", F.lit(False)), near, spark.range(12).select(F.col("id").alias("entity"), F.lit(1.0).alias("length")), spark.range(0).select(F.col("id").alias("entity"))).first()
     assert row.hours == 3 and row.hours_active == 0 and row.ap is None and row.mean_rank is None
+
+
+def test_grids_are_not_broadcast(spark):
+    """A grid is hours times its entities; Spark takes it to be as small as these."""
+    hour = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), (F.col("id") % 2 * 9).cast("int"))
+    seen = spark.range(4).groupBy(hour.alias("hour"), F.floor(F.col("id") / 2).alias("entity")).agg(F.lit(2.0).alias("score"), F.lit(True).alias("active"))
+    full = grid.fill(seen, {"score": 0.0, "active": False})
+    assert full.count() == 20
+    for df in (full.where("active"), seen.select("hour", "entity").join(rank.ordered(full), ["hour", "entity"]), seen.select("hour", "entity").join(full.where("score = 2"), ["hour", "entity"])):
+        assert "BroadcastHashJoin" not in _plan(df) and df.count() == 4
+
+
+def test_written_weights_of_a_comparison_are_not_broadcast(spark):
+    """Packed files of weights and near pairs are many times smaller than the rows that a broadcast would hold."""
+    x = spark.range(96).select(F.lit("m").alias("map"), F.lit("raw").alias("mode"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), (F.col("id") % 12).cast("int"))).alias("hour"), F.floor(F.col("id") / 12).alias("entity"))
+    maps = x.withColumn("score", (F.col("entity") * 7 % 5).cast("double")).withColumn("active", F.col("entity") % 3 == 0)
+    users = spark.range(8).select(F.col("id").alias("entity"))
+    lines = _plan(compare.comparison(maps, grid.ring(users), users.withColumn("length", F.lit(1.0)), users.where("entity > 2"), draws=2)).split("\n")
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            held = next(below for below in lines[i + 1 :] if re.search("FileScan|Range|Aggregate|Window|Join|Generate", below))
+            assert not re.search("FileScan.*compare-(weights|near|ranked)", held), held
