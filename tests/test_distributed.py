@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ripplegrid.jobs import study_queries
 from ripplegrid.operators import compare, graph, grid, order_stats, plan, rank, spatial, windows
 
 
@@ -217,5 +218,14 @@ def test_written_weights_of_a_comparison_are_not_broadcast(spark):
     lines = _plan(compare.comparison(maps, grid.ring(users), users.withColumn("length", F.lit(1.0)), users.where("entity > 2"), draws=2)).split("\n")
     for i, line in enumerate(lines):
         if "BroadcastExchange" in line:
-            held = next(below for below in lines[i + 1 :] if re.search("FileScan|Range|Aggregate|Window|Join|Generate", below))
+            held = next((below for below in lines[i + 1 :] if re.search("FileScan|Range|Aggregate|Window|Join|Generate", below)), "")
             assert not re.search("FileScan.*compare-(weights|near|ranked)", held), held
+
+
+def test_overlaps_are_counted_without_pairs(spark):
+    """20 000 episodes of one slot, all but two of one partition: as many pairs as a loop finds, and no self-join."""
+    p = spark.range(20_000).select("id", F.when(F.col("id") < 2, "b").otherwise("a").alias("partition"), F.lit(0).alias("begin"), F.lit(6).alias("finish"))
+    assert plan.overlaps(p).agg(F.sum("pairs")).first()[0] == 2 * 19_998
+    joined = study_queries.audited_overlaps(p)
+    assert joined.first()["violations"] == 2 * 19_998 and "Join" not in _plan(joined)
+    assert study_queries.audited_overlaps(p.where("id > 1")).first()["violations"] == 0
