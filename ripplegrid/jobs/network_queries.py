@@ -19,7 +19,7 @@ _X, _Y = "{0} * 37 % 1009", "{0} * 91 % 997"
 def near_customers(spark, sf_dir):
     """All customers within 150 of each other on the plane."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_acctbal").alias("x"), (F.col("c_custkey") * 7919 % 10007).cast("double").alias("y"))
-    return spatial.near_pairs(c, 150.0).select("p", "q", F.round("d", 6).alias("d"))
+    return spatial.near_pairs(c, 150.0).select("p", "q", (F.floor(F.col("d") * 1e6 + 0.5) / 1e6).alias("d"))  # F.round() makes a decimal of every double
 
 
 def localisation_planar(spark, sf_dir):

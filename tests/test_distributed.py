@@ -229,3 +229,11 @@ def test_overlaps_are_counted_without_pairs(spark):
     joined = study_queries.audited_overlaps(p)
     assert joined.first()["violations"] == 2 * 19_998 and "Join" not in _plan(joined)
     assert study_queries.audited_overlaps(p.where("id > 1")).first()["violations"] == 0
+
+
+def test_near_pairs_are_found_by_many_tasks(spark):
+    """Few points in one small file make many pairs: the tasks that find them follow the cores and not the file."""
+    points = spark.range(2000).select(F.col("id").alias("entity"), (F.col("id") * 37 % 1009).alias("x"), (F.col("id") * 91 % 997).alias("y")).coalesce(1)
+    near = spatial.near_pairs(points, 50.0)
+    assert near.count() == near.distinct().count() > 2000
+    assert near.groupBy(F.spark_partition_id()).count().count() > 8 and "BroadcastHashJoin" not in _plan(near)
