@@ -26,7 +26,7 @@ def localisation_planar(spark, sf_dir):
     """Localisation where near means within 120 on the plane."""
     x = Inputs(spark, sf_dir)
     places = x.users.select("entity", F.expr(_X.format("entity")).alias("x"), F.expr(_Y.format("entity")).alias("y"))
-    return rank.localisation(x.scores, spatial.near_pairs(places, 120.0), 5)
+    return spatial.localisation_within(x.scores, places, 120.0, 5)
 
 
 def _pipes(ids):

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ripplegrid.jobs import study_queries
+from ripplegrid.jobs import network_queries, study_queries
 from ripplegrid.operators import compare, graph, grid, order_stats, plan, rank, spatial, windows
 
 
@@ -237,3 +237,13 @@ def test_near_pairs_are_found_by_many_tasks(spark):
     near = spatial.near_pairs(points, 50.0)
     assert near.count() == near.distinct().count() > 2000
     assert near.groupBy(F.spark_partition_id()).count().count() > 8 and "BroadcastHashJoin" not in _plan(near)
+
+
+def test_localisation_on_the_plane_makes_no_near_pairs(spark):
+    """The same as with the pairs of all entities within reach, many tied; 600 entities in one cell would make 360 000 pairs."""
+    points = spark.range(600).select(F.col("id").alias("entity"), F.when(F.col("id") != 7, F.col("id") * 37 % 1009).alias("x"), (F.col("id") * 91 % 997).alias("y"))
+    scores = spark.range(6000).select((F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.floor(F.col("id") / 600).cast("int"))).alias("hour"), (F.col("id") % 600).alias("entity"), (F.col("id") * 7919 % 101).cast("double").alias("score"), (F.col("id") % 11 == 0).alias("active"))
+    for reach in (120.0, 5000.0):
+        got, known = (sorted(tuple(r) for r in df.collect()) for df in (spatial.localisation_within(scores, points, reach, 5), rank.localisation(scores, spatial.near_pairs(points, reach), 5)))
+        assert got == known and len(got) == 10
+    assert "near_pairs" not in network_queries.localisation_planar.__code__.co_names
